@@ -19,6 +19,7 @@ WORD_BYTES = bytes(
 )
 #: Text is handled in Python in slices of about this many bytes, so that temporaries stay small.
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 50_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -102,7 +103,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         begin = size = 0
         for i, t in enumerate(texts):
             size += len(t or b"")
-            if size >= SLICE_BYTES:
+            if size >= SLICE_BYTES or i - begin >= SLICE_ROWS:
                 yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
                 begin, size = i + 1, 0
         if begin < len(texts):
