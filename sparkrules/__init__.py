@@ -1,0 +1,7 @@
+"""A decision-rules engine on Spark: YAML rulesets become DataFrame plans."""
+
+from .engine import EngineConfig, Evaluation, RuleEngine
+from .errors import ConfigError, IngestError, LookupLoadError, ParseError, RuleEngineError, SchemaError
+
+__version__ = "0.1.0"
+__all__ = ["ConfigError", "EngineConfig", "Evaluation", "IngestError", "LookupLoadError", "ParseError", "RuleEngine", "RuleEngineError", "SchemaError"]
