@@ -23,7 +23,7 @@ def boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio:
     (lines a page) / ratio of them a site, are counted again by their whole text, so a collision cannot add or hide
     anything.
     """
-    pages = df.select(F.col(site).alias("site"), F.array_distinct(F.transform(lines_of(F.col(text)), F.trim)).alias("lines"))
+    pages = df.select(F.col(site).alias("site"), F.array_distinct(F.transform(lines_of(F.col(text)), lambda line: F.trim(line))).alias("lines"))
     totals = pages.groupBy("site").agg(F.count("*").alias("total"))
     each = pages.select("site", F.explode("lines").alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
 
