@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from dataclasses import dataclass, replace
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import ConfigError, SchemaError
-from .functions.predicates import Scope, compile_condition, compile_leaf, key_of
+from .functions.predicates import Scope, compile_condition, compile_leaf, for_filter, key_of
 from .functions.vectors import array_similarity, similarity
 from .operators import decide
 from .operators.lookups import Lookup, join_lookup, load_lookup, make_lookup
@@ -141,8 +142,13 @@ class Evaluation:
         return Scope(lambda n: self.schema.resolve(n, rule_id), rule_id, self.as_of_ms, derived or {}, self.engine.lookups)
 
     def _validate(self) -> None:
-        """Every rule is compiled once against the schema, so that errors come before any job."""
+        """Compiles every rule against the schema, so that errors come before any job.
+
+        Equal leaves are one predicate; rules become trees over the predicates' columns.
+        """
         self._leaves: dict = {}
+        self._names: dict = {}
+        self._fires: list[Column] = []
         placeholders = {}
         for rule in self.rules:
             for leaf in walk(rule.condition):
@@ -159,10 +165,12 @@ class Evaluation:
             scope = self._scope(rule.id, placeholders)
 
             def note(leaf, scope=scope):
-                self._leaves.setdefault(leaf, len(self._leaves))
-                return compile_leaf(leaf, scope)
+                if leaf not in self._leaves:
+                    self._leaves[leaf] = compile_leaf(leaf, scope)
+                    self._names[leaf] = f"__p{len(self._names)}"
+                return F.col(self._names[leaf])
 
-            compile_condition(rule.condition, scope, note)
+            self._fires.append(compile_condition(rule.condition, scope, note))
 
     @cached_property
     def _derived(self) -> tuple[DataFrame, dict]:
@@ -212,15 +220,12 @@ class Evaluation:
         """Source columns and a boolean __r{i} for each rule. Distinct predicates are computed once, in a projection of their own."""
         df, derived = self._derived
         own = [c for c in self.source.columns]
-        predicates = {}
-        for leaf, i in self._leaves.items():
-            predicates[f"__p{i}"] = compile_leaf(leaf, self._scope(derived=derived))
-        stage = df.select(*[f"`{c}`" for c in own], *[c.alias(n) for n, c in predicates.items()])
-        rules = {}
-        for i, rule in enumerate(self.rules):
-            scope = self._scope(rule.id, derived)
-            rules[f"__r{i}"] = compile_condition(rule.condition, scope, lambda leaf: F.col(f"__p{self._leaves[leaf]}"))
-        return stage.select(*[f"`{c}`" for c in own], *[c.alias(n) for n, c in rules.items()])
+        predicates = []
+        for leaf, column in self._leaves.items():
+            late = isinstance(leaf, WindowLeaf | ModelLeaf | VectorLeaf) or leaf.family == "lookup"
+            predicates.append((compile_leaf(leaf, self._scope(derived=derived)) if late else column).alias(self._names[leaf]))
+        stage = df.select(*[f"`{c}`" for c in own], *predicates)
+        return stage.select(*[f"`{c}`" for c in own], *[c.alias(f"__r{i}") for i, c in enumerate(self._fires)])
 
     @cached_property
     def fired(self) -> DataFrame:
@@ -238,16 +243,21 @@ class Evaluation:
     def matched(self) -> Column:
         return reduce(or_, (F.col(f"__r{i}") for i in range(len(self.rules))), F.lit(False))
 
+    def _code(self, rule: Column) -> Column:
+        """The decision code of a winning rule's index."""
+        codes = [0, *(self.registry.labels.index(r.label) for r in self.rules)]
+        return F.element_at(F.from_json(F.lit(json.dumps(codes)), "array<int>"), rule + 2)
+
     def codes(self) -> DataFrame:
         """The kept columns with matched, decision_code, score and winning_rule (index, -1: none)."""
         won = decide.winner(self._pairs(), self.registry, self.ruleset.default_decision)
-        staged = self.fired.select(*self._keep, self.matched.alias("matched"), decide.score(self._pairs()).alias("score"), won.alias("__won"))
-        return staged.select(*self._keep, "matched", F.col("__won.code").alias("decision_code"), "score", F.col("__won.rule").alias("winning_rule"))
+        staged = self.fired.select(*self._keep, self.matched.alias("matched"), decide.score(self._pairs()).alias("score"), won.alias("winning_rule"))
+        return staged.select(*self._keep, "matched", self._code(F.col("winning_rule")).alias("decision_code"), "score", "winning_rule")
 
     def decisions(self) -> DataFrame:
         """The kept columns with matched, decision, score, risk_band and winning_rule_id ("" without a winner)."""
         labels = F.array(*[F.lit(x) for x in self.registry.labels])
-        ids = F.array(F.lit(""), *[F.lit(r.id) for r in self.rules])
+        ids = F.from_json(F.lit(json.dumps(["", *(r.id for r in self.rules)])), "array<string>")
         named = self.codes().withColumn("decision", F.element_at(labels, F.col("decision_code") + 1))
         return named.select(
             *self._keep,
@@ -268,7 +278,7 @@ class Evaluation:
         reasons = F.array_compact(F.array(*[F.when(c, F.lit(r.reason_code)) for r, c in self._pairs()]))
         won = decide.winner(self._pairs(), self.registry, self.ruleset.default_decision)
         labels = F.array(*[F.lit(x) for x in self.registry.labels])
-        return self.fired.select(*self._keep, F.element_at(labels, won["code"] + 1).alias("decision"), ids.alias("rules"), reasons.alias("reasons"))
+        return self.fired.select(*self._keep, F.element_at(labels, self._code(won) + 1).alias("decision"), ids.alias("rules"), reasons.alias("reasons"))
 
     def rule_counts(self) -> DataFrame:
         """(rule_id, matches), in rule order; shadow rules are counted as well."""
@@ -305,12 +315,10 @@ class Evaluation:
         return self.fired.where(F.col(f"__r{i}")).select(*self._keep)
 
     def matched_only(self) -> DataFrame:
-        """decisions() of the rows that some rule matches; conditions without derived columns reach the scan as a filter."""
-        if all(not isinstance(x, WindowLeaf | ModelLeaf | VectorLeaf) for x in self._leaves):
-            scope = self._scope(derived=self._derived[1])
-            hit = reduce(or_, (compile_condition(r.condition, scope) for r in self.rules), F.lit(False))
-            if all(self.engine.lookups[x.args[0]].inline for x in self._leaves if x.family == "lookup"):
-                return Evaluation(self.engine, self.source.where(hit), self.as_of_ms, self.clock).decisions()
-        return self.decisions().where("matched")
-
-
+        """decisions() of the rows that some rule matches; where no column is derived, the conditions reach the scan as a filter."""
+        late = any(isinstance(x, WindowLeaf | ModelLeaf | VectorLeaf) or (x.family == "lookup" and not self.engine.lookups[x.args[0]].inline) for x in self._leaves)
+        if late:
+            return self.decisions().where("matched")
+        with for_filter(True):
+            hit = reduce(or_, (compile_condition(r.condition, self._scope(r.id)) for r in self.rules), F.lit(False))
+        return Evaluation(self.engine, self.source.where(hit), self.as_of_ms, self.clock).decisions()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -24,8 +26,21 @@ INLINE_VALUES, INLINE_RANGES = 1000, 64
 DAY_MS, HOUR_MS = 86_400_000, 3_600_000.0
 
 
+#: Set while a condition is compiled for a filter, which takes null for false: bare comparisons reach the scan.
+_FILTER: ContextVar[bool] = ContextVar("filter", default=False)
+
+
 def certain(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+    return c if _FILTER.get() else F.coalesce(c, F.lit(False))
+
+
+@contextmanager
+def for_filter(on: bool):
+    token = _FILTER.set(on)
+    try:
+        yield
+    finally:
+        _FILTER.reset(token)
 
 
 @dataclass
@@ -350,10 +365,12 @@ def compile_condition(node, s: Scope, leaf_column: Callable | None = None) -> Co
     if isinstance(node, Not):
         inner = node.part
         if isinstance(inner, All | Any | Not):
-            return ~compile_condition(inner, s, leaf_column)
+            with for_filter(False):
+                return ~compile_condition(inner, s, leaf_column)
         if (other := negated(inner, s)) is not None:
             return column(other)
-        out = ~column(inner)
+        with for_filter(False):
+            out = ~column(inner)
         if isinstance(inner, Leaf) and inner.op in OPERATORS and OPERATORS[inner.op].inverse == "guarded" and not s.nested:
             out = out & s.resolve(inner.fields[0]).column.isNotNull()
         return out

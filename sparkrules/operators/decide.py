@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..plans.spec import SEVERITIES, Rule, Ruleset
 
 BUILT_IN_RANK = {"approve": 0, "score": 1, "flag": 2, "review": 3, "block": 4}
 INT_MIN = -(1 << 31)
+PLACE_BITS = 19
 HIGH_SCORE, MEDIUM_SCORE = 80.0, 40.0
 
 
@@ -52,18 +54,24 @@ def score(rules: list[tuple[Rule, Column]]) -> Column:
 
 
 def winner(rules: list[tuple[Rule, Column]], registry: Registry, default: str) -> Column:
-    """The largest (rank, severity, priority), the earliest rule among equals, as a struct with code and rule (-1: none)."""
-    fields = ("rank", "severity", "priority", "order", "code", "rule")
+    """The index of the winning rule, -1 for none: largest (rank, severity, priority), the earliest rule among equals.
 
-    def entry(*values: int) -> Column:
-        return F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, values, strict=True)])
+    The four are packed into one bigint for each rule, so the winner is the greatest of plain numbers.
+    """
 
-    entries = [entry(registry.ranks[default], -1, INT_MIN, 1, 0, -1)]
+    def packed(rank: int, severity: int, priority: int, place: int) -> int:
+        return ((rank << 3 | severity + 1) << 32 | priority - INT_MIN) << PLACE_BITS | place
+
+    if len(rules) >= 1 << PLACE_BITS or len(registry.labels) > 200:
+        raise ConfigError("INVALID_ENGINE_CONFIG", "too many rules or decision labels")
+    last = (1 << PLACE_BITS) - 1
+    keys = [F.lit(packed(registry.ranks[default], -1, INT_MIN, 0)).cast("bigint")]
     for i, (rule, fired) in enumerate(rules):
         if not rule.shadow:
-            values = (registry.rank(rule), SEVERITIES.index(rule.severity), rule.priority, -i, registry.labels.index(rule.label), i)
-            entries.append(F.when(fired, entry(*values)))
-    return F.array_max(F.array(*entries)) if len(entries) > 1 else entries[0]
+            keys.append(F.when(fired, F.lit(packed(registry.rank(rule), SEVERITIES.index(rule.severity), rule.priority, last - i)).cast("bigint")))
+    best = F.greatest(*keys) if len(keys) > 1 else keys[0]
+    place = best.bitwiseAND(F.lit(last))
+    return F.when(place == 0, F.lit(-1)).otherwise((F.lit(last) - place).cast("int"))
 
 
 def risk_band(decision: Column, total: Column) -> Column:
