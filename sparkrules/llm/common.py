@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 #: Text is handled in Python in slices of about this many bytes, so that temporaries stay small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 50_000
+BATCH_BYTES = 8 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,18 +99,34 @@ def number_within(df: DataFrame, group: str, key: Column, order: list[Column], n
     return df.withColumn(name, (starts[at] + nth - 1).cast("bigint")).drop("__bin")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES where it stands at Spark's default: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns free memory of this Python process, which later tasks may not use, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cuts Arrow batches into slices of about SLICE_BYTES of text, with the texts as bytes."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.binary()).to_pylist()
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= SLICE_BYTES or i - begin >= SLICE_ROWS:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, size = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        column = batch.column(text).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
+        begin = 0
+        while begin < len(column):
+            before = ends[begin - 1] if begin else 0
+            end = min(begin + SLICE_ROWS, max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+            yield batch.slice(begin, end - begin), column.slice(begin, end - begin).to_pylist()
+            begin = end
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,10 +6,10 @@ arrived first. Two texts agree in a register with their probability Jaccard simi
 time by which all registers are taken, which ends the work after about m ln m arrivals a text. Bands of registers
 give candidates, and each link is verified by the exact Jaccard similarity of the texts' shingle sets.
 
-Links are found without listing the pairs of a bucket: each bucket's members are first compared with its smallest member, and
-connected texts are joined. Only buckets whose members are still in several classes go on, with 2, 4, 8 ... further
-members compared with those of other classes, until every pair of a bucket is either compared or known to be in one
-class. So the classes are those that all candidate pairs would give.
+Links are found without listing the pairs of a bucket. First each bucket's members are compared with the one that meets
+most other texts, and connected texts are joined. Then only buckets whose members are still in several classes matter. In
+these, texts that share a rare shingle are compared; for all other pairs the common shingles bound the overlap, and those whose
+sizes still allow the similarity are compared as well. So the classes are those that all candidate pairs would give.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, mix64, text_slices, words_of
+from .common import Scratch, WordHash, give_back, mix64, small_batches, text_slices, words_of
 
 SET_BITS = np.uint64(48)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xD6E8FEB86659FD93)
+#: Shingles that at most so many texts of open buckets share lead to pairs directly.
+RARE = 16
 
 
 @dataclass(frozen=True)
@@ -131,21 +132,24 @@ def bands_of(text: Column, s: Settings) -> Column:
     return run(text)
 
 
-def set_of(text: Column, s: Settings) -> Column:
-    """Sorted distinct shingles as bytes of 64-bit integers."""
+def set_of(text: Column, s: Settings, sha: Column | None = None, wanted=None) -> Column:
+    """Sorted distinct shingles as bytes of 64-bit integers; null for texts that the bitmap ``wanted`` rules out by their sha."""
 
     @F.arrow_udf("binary")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         hashes = WordHash()
-        for column in columns:
-            out: list[bytes] = []
-            for part in _slices(column):
+        for column, keys in columns:
+            mask = np.ones(len(column), bool) if wanted is None else may_hold(wanted.value, keys)
+            sets: list[bytes] = []
+            for part in _slices(column.filter(pa.array(mask))):
                 owner, element, _ = shingles(part, hashes, s.shingle)
                 cuts = np.searchsorted(owner, np.arange(1, len(part)))
-                out += [x.tobytes() for x in np.split(element, cuts)]
+                sets += [x.tobytes() for x in np.split(element, cuts)]
+            out = np.full(len(column), None, object)
+            out[mask] = sets
             yield pa.array(out, pa.binary())
 
-    return run(text)
+    return run(text, F.lit(None).cast("binary") if sha is None else sha)
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -158,7 +162,9 @@ def jaccard(x: bytes, y: bytes) -> float:
 def jaccard_of(a: str, b: str) -> Column:
     @F.arrow_udf("double")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([jaccard(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64())
+        out = pa.array([jaccard(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64())
+        give_back()
+        return out
 
     return run(F.col(a), F.col(b))
 
@@ -186,42 +192,92 @@ def _prefix(sha: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.conv(F.hex(F.substring(sha, 1, 4)), 16, 10).cast("bigint"), 32 - bits)
 
 
-def _maybe(needed: DataFrame, bits: int):
-    """A predicate on sha that is true for all of ``needed`` and few others: a bitmap of at most 2**bits bits."""
+def bitmap_of(wanted: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits that say which shas may be wanted: true for all wanted ones and few others."""
     at = _prefix(F.col("sha"), bits)
-    words = needed.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(0 as int))").alias("one"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
-    words = words.groupBy("w").agg(F.expr("bit_or(shiftleft(one, b))").alias("v")).toArrow()
-    bitmap = np.zeros(max(1, 1 << (bits - 6)), np.int64)
-    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    sent = needed.sparkSession.sparkContext.broadcast(bitmap)
+    one = wanted.select(F.shiftright(at, 6).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
+    found = one.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    return words
 
-    @F.arrow_udf("boolean")
-    def run(column: pa.Array) -> pa.Array:
-        p = np.array([int.from_bytes(x[:4], "big") >> (32 - bits) for x in column.to_pylist()], np.int64)
-        return pa.array((sent.value[p >> 6] >> (p & 63)) & 1 == 1)
 
-    return run
+def may_hold(words: np.ndarray, shas: pa.Array) -> np.ndarray:
+    bits = len(words).bit_length() + 5
+    p = np.array([int.from_bytes(x[:4], "big") >> (32 - bits) for x in shas.to_pylist()], np.int64)
+    return (words[p >> 6] >> (p & 63)) & 1 == 1
+
+
+def _with_comps(df: DataFrame, comps: DataFrame) -> DataFrame:
+    return df.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def elements_of(column: str) -> Column:
+    """A set from set_of() as an array."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(sets: pa.Array) -> pa.Array:
+        parts = [np.frombuffer(x.as_py(), np.int64) for x in sets]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+    return run(F.col(column))
+
+
+def _rare(ids: DataFrame, comps: DataFrame, sets: DataFrame, s: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different classes that share a rare shingle, and what the overlap of all other pairs can be at most.
+
+    A shingle is rare if at most RARE of ``ids`` have it. A pair that shares none of them overlaps in the other shingles only:
+    ``most`` is the largest size of a partner with which that can still reach the similarity.
+    """
+    postings = scratch.table(sets.join(ids, "id").select("id", F.explode(elements_of("elements")).alias("g")))
+    rare = postings.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    held = scratch.table(postings.join(rare, "g"))
+    scratch.drop(postings)
+    several = _with_comps(held.where("df > 1"), comps).select("g", "id", "comp")
+    one = several.select("g", F.col("id").alias("a"), F.col("comp").alias("ca"))
+    two = several.select("g", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    shared = one.join(two, "g").where("a < b and ca != cb").select("a", "b").distinct()
+    sizes = sets.join(ids, "id").select("id", (F.octet_length("elements") / 8).cast("bigint").alias("size"))
+    counts = held.groupBy("id").agg(F.count("*").alias("rare"))
+    common = F.col("size") - F.coalesce("rare", F.lit(0))
+    most = (1 + s.similarity) / s.similarity * common - F.col("size") + 1e-6
+    return shared, scratch.table(sizes.join(counts, "id", "left").select("id", "size", most.alias("most")))
+
+
+def _possible(still: DataFrame, comps: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs of different classes in one bucket that may be similar without a rare shingle in common.
+
+    Each one's size must be within the other's ``most``, so one of the two has a ``most`` that is not below its own size.
+    """
+    known = _with_comps(still, comps).join(bounds, "id")
+    light = known.where("most >= size").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("most").alias("ma"))
+    every = known.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("most").alias("mb"))
+    met = light.join(every, "key").where("ca != cb and sb <= ma and sa <= mb and (mb < sb or a < b)")
+    return met.select("a", "b").distinct()
 
 
 def _rows(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str) -> DataFrame:
     """row, id, sha and class: the row number of the class's smallest row, for every row of df."""
+    small_batches(df.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
     sha = F.unhex(F.sha2(value, 256))
     signed = scratch.table(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), sha.alias("sha"), bands_of(value, s).alias("bands")))
     # copies go first: one row stands for each text
-    reps = signed.groupBy("sha").agg(F.min("row").alias("rep"))
-    rows = scratch.table(signed.select("row", "id", "sha").join(reps, "sha"))
+    copies = scratch.table(signed.groupBy("sha").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sha", "rep"))
+    rows = scratch.table(signed.select("row", "id", "sha").join(copies, "sha", "left").withColumn("rep", F.coalesce("rep", "row")))
     buckets = signed.join(rows.where("row = rep").select("row"), "row").select(F.explode("bands").alias("key"), F.col("row").alias("id"))
-    many = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
+    many = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.table(buckets.join(many, "key"))
-    scratch.drop(signed)
+    scratch.drop(signed, copies)
     if members.isEmpty():
         return rows.withColumn("class", F.col("rep"))
 
     needed = scratch.table(members.select("id").distinct().join(rows.select(F.col("row").alias("id"), "sha"), "id"))
     bits = min(27, max(16, math.ceil(math.log2(16 * needed.count()))))
-    some = df.select(sha.alias("sha"), value.alias("text")).where(_maybe(needed, bits)(F.col("sha")))
-    sets = some.select("sha", set_of(F.col("text"), s).alias("elements")).join(needed, "sha")
+    wanted = df.sparkSession.sparkContext.broadcast(bitmap_of(needed, bits))
+    some = df.select(sha.alias("sha"), set_of(value, s, sha, wanted).alias("elements")).where("elements is not null")
+    sets = some.join(needed, "sha")
     sets = scratch.table(sets.groupBy("id").agg(F.first("elements").alias("elements")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -230,31 +286,41 @@ def _rows(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str)
         met = pairs.join(one, "a").join(two, "b")
         return met.where(jaccard_of("x", "y") >= s.similarity).select("a", "b")
 
-    links = scratch.table(verified(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()))
+    # the text that meets most others leads its buckets; a third of all texts may be near it and not near each other
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "id")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("b"))
+    links = scratch.table(verified(members.select("key", F.col("id").alias("a")).join(leaders, "key").where("a != b").select("a", "b").distinct()))
     comps = connected(links, scratch)
-    tried = 1
-    while True:
-        own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "id", "n", "comp")
-        left = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where(F.col("n") - 1 > tried).where("lo != hi")
-        still = scratch.table(own.join(left.select("key"), "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")) - 1))
-        if still.isEmpty():
-            break
-        until = tried + tried + 1
-        first = still.where((F.col("rank") >= tried) & (F.col("rank") < until)).select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        rest = still.where(F.col("rank") > tried).select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
-        pairs = first.join(rest, "key").where("ca != cb and rb > ra").select("a", "b").distinct()
-        links = scratch.table(links.union(verified(pairs)))
+    own = _with_comps(members, comps).select("key", "id", "n", "comp")
+    left = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("n > 2 and lo != hi")
+    still = scratch.table(own.join(left.select("key"), "key").select("key", "id"))
+    if not still.isEmpty():
+        ids = scratch.table(still.select("id").distinct())
+        shared, bounds = _rare(ids, comps, sets, s, scratch)
+        links = scratch.table(links.union(verified(shared)))
+        comps = connected(links, scratch)
+        links = scratch.table(links.union(verified(_possible(still, comps, bounds))))
         comps = connected(links, scratch)
-        scratch.drop(still)
-        tried = until
     found = rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("comp", "rep"))
     return found.select("row", "id", "sha", "class")
 
 
-def _classed(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+def _classed(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str) -> DataFrame:
+    """row, id, sha, class_id, class_size and kept, for every row of df."""
     rows = scratch.table(_rows(df, scratch, s, text, id_col).select("row", "id", "sha", "class"))
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "sha")).alias("best")
-    return rows, rows.groupBy("class").agg(F.count("*").alias("class_size"), best)
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    # only classes of several rows are joined back, from a table, so that a hot class's rows can be split
+    groups = scratch.table(rows.groupBy("class").agg(F.count("*").alias("class_size"), best).where("class_size > 1"))
+    alone = F.col("class_size").isNull()
+    return rows.join(groups, "class", "left").select(
+        "row",
+        "id",
+        "sha",
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
+        (alone | (F.col("best.row") == F.col("row"))).alias("kept"),
+    )
 
 
 def classes(df: DataFrame, settings: Settings = Settings(), text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -264,17 +330,17 @@ def classes(df: DataFrame, settings: Settings = Settings(), text: str = "text",
     one class, and texts without words are linked to nothing but equal texts. The row with the smallest id stays (null
     ids come last, of repeated ids one row stays). An empty table gives an empty result.
     """
-    rows, groups = _classed(df, Scratch(df.sparkSession, "near"), settings, text, id_col)
-    kept = F.col("best.row") == F.col("row")
-    return rows.join(groups, "class").select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", kept.alias("kept"))
+    found = _classed(df, Scratch(df.sparkSession, "near"), settings, text, id_col)
+    return found.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def keep_one(df: DataFrame, settings: Settings = Settings(), text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of df, all columns, that stay when each class keeps one row."""
-    rows, groups = _classed(df, Scratch(df.sparkSession, "near"), settings, text, id_col)
-    keepers = groups.select(F.col("best.id").alias("__id"), F.col("best.sha").alias("__sha"))
+    scratch = Scratch(df.sparkSession, "near")
+    found = scratch.table(_classed(df, scratch, settings, text, id_col))
+    keepers = found.where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
     sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     out = df.join(keepers, (sha == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if rows.groupBy("id", "sha").count().where("count > 1").isEmpty():
+    if found.groupBy("id", "sha").count().where("count > 1").isEmpty():
         return out
     return out.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
