@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix64, text_slices
+from .common import WordHash, mix64, small_batches, text_slices
 
 #: A token is a run of letters and digits, case kept, or a run of other characters.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 
 
+REPEATS = (1, 2, 3)
+
+
 @dataclass(frozen=True)
 class Settings:
     """sample_rows bounds the labelled rows that the model is fitted on; everything else covers all rows."""
@@ -35,9 +38,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
+def repeats(h: np.ndarray, text: np.ndarray, k: int) -> np.ndarray:
+    """Where the last k tokens are the k tokens before them, in one text."""
+    if len(h) < 2 * k:
+        return np.zeros(0, np.int64)
+    same = (h[k:] == h[:-k]) & (text[k:] == text[:-k])
+    whole = np.lib.stride_tricks.sliding_window_view(same, k).all(axis=1)
+    return np.nonzero(whole)[0] + 2 * k - 1
+
+
 def features(texts: list[bytes | None], hashes: WordHash, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, value), sorted by text: 1 + ln(count) of unigrams and bigrams, each text scaled to length 1.
+    """(text, feature, value), sorted by text: 1 + ln(count) of n-grams, each text scaled to length 1.
 
+    N-grams are unigrams, bigrams, and repeats: 2k tokens of which the second half is the first once more are one feature
+    for each k in REPEATS, whatever the tokens are.
     Feature 0 is the constant; it is in every text, also in empty ones, with value 1.
     """
     words, lengths = [], []
@@ -51,8 +65,12 @@ def features(texts: list[bytes | None], hashes: WordHash, bits: int) -> tuple[np
     two = mix64(h[:-1] * np.uint64(3) + h[1:])[text[:-1] == text[1:]] if len(h) else h
     text2 = text[1:][text[:-1] == text[1:]] if len(h) else text
     cut = np.uint64(64 - bits)
-    both = np.concatenate([h >> cut, two >> cut]).astype(np.int64)
-    key, count = np.unique((np.concatenate([text, text2]) << bits) | np.maximum(both, 1), return_counts=True)
+    owners, parts = [text, text2], [h >> cut, two >> cut]
+    for k in REPEATS:
+        at = repeats(h, text, k)
+        owners.append(text[at])
+        parts.append(np.full(len(at), mix64(np.array([k], np.uint64))[0] >> cut))
+    key, count = np.unique((np.concatenate(owners) << bits) | np.maximum(np.concatenate(parts).astype(np.int64), 1), return_counts=True)
     owner, feature = key >> bits, key & ((1 << bits) - 1)
     value = 1 + np.log(count)
     norm = np.sqrt(np.bincount(owner, value * value, n))
@@ -84,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     Null labels and ids are left out; of repeated labels of an id the smaller counts. Without any label all weights are 0,
     and every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("double").alias("__y"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(settings.sample_rows))  # sample_rows rows
@@ -115,6 +134,7 @@ def score(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), t
 
     Null and empty texts get the constant's score. Only texts go to Python and only scores come back.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
