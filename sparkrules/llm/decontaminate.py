@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, words_of
+from .common import small_batches, text_slices, words_of
 
 WINDOW = 10
 #: Bytes of benchmark text that one search block may hold; a larger benchmark is searched in several blocks.
@@ -58,6 +58,7 @@ def build_index(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds, strict=True)], schema=kinds)
             number += 1
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(build, SEGMENT)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, give_back, small_batches
 
 #: Skippable frame that holds the dictionary, and ordinary frame (fixed values of the format).
 DICT_MAGIC = 0x184D2A5D
@@ -230,7 +230,9 @@ def write_archives(records: DataFrame, archive_size: int = ARCHIVE_BYTES) -> Dat
                     yield close()
         if held:
             yield close()
+        give_back()
 
+    small_batches(records.sparkSession)
     return records.mapInArrow(pack, "name string, content binary")
 
 
