@@ -34,6 +34,9 @@ def backtest(df: DataFrame, a: RuleEngine, b: RuleEngine, label: str | None = No
             out[f"precision_{name}"] = rate(hit & truth, F.count_if(hit))
             out[f"recall_{name}"] = rate(hit & truth, F.count_if(truth))
     summary = second.fired.agg(*[c.alias(k) for k, c in out.items()])
-    counts = second.rule_counts().crossJoin(F.broadcast(df.agg(n.alias("__n"))))  # one row beside the rules
-    rules = counts.select("rule_id", F.col("matches").alias("fired"), F.try_divide(F.col("matches").cast("double"), F.col("__n").cast("double")).alias("fire_rate"))
-    return summary, rules
+    hits = [F.count_if(F.col(f"__r{i}")).alias(f"c{i}") for i in range(len(second.rules))]
+    sums = second.fired.agg(n.alias("n"), *hits)
+    share = lambda i: F.try_divide(F.col(f"c{i}").cast("double"), F.col("n").cast("double"))
+    table = [F.struct(F.lit(r.id).alias("rule_id"), F.col(f"c{i}").alias("fired"), share(i).alias("fire_rate")) for i, r in enumerate(second.rules)]
+    empty = F.expr("cast(array() AS array<struct<rule_id:string,fired:bigint,fire_rate:double>>)")
+    return summary, sums.select(F.inline(F.array(*table) if table else empty))

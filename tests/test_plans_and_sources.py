@@ -163,3 +163,17 @@ def test_cli(tmp_path, spark, capsys):
     assert lines[1:] == [{"n_records": 2, "n_matched": 1}, {"skipped": 1}]
     (tmp_path / "bad.json").write_text('{"rules": [{"id": "x", "action": "blok", "conditions": {}}]}')
     assert main(["validate", str(tmp_path / "bad.json")]) == 1
+
+
+def test_backtest(spark):
+    from sparkrules.operators.backtest import backtest
+
+    df = spark.createDataFrame([(1, True), (2, False), (3, True), (4, None)], "a int, y boolean")
+    one = lambda op, v: RuleEngine().load_rules_from_dict({"rules": [{"id": f"{op}{v}", "conditions": {"field": "a", "op": op, "value": v}}]})
+    summary, rules = backtest(df, one("gt", 1), one("gt", 2), "y")
+    s = summary.first()
+    assert (s.total, s.fire_rate_a, s.fire_rate_b, s.new_positives, s.lost, s.agreement) == (4, 0.75, 0.5, 0, 1, 0.75)
+    assert (round(s.precision_a, 3), s.recall_a, s.precision_b, s.recall_b) == (0.333, 0.5, 0.5, 0.5)
+    assert [tuple(r) for r in rules.collect()] == [("gt2", 2, 0.5)]
+    s, rules = backtest(df.limit(0), one("gt", 1), one("gt", 2))
+    assert s.first().fire_rate_a is None and [tuple(r) for r in rules.collect()] == [("gt2", 0, None)]
