@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ConfigError, SchemaError
@@ -51,9 +51,11 @@ class RuleEngine:
         self.models: dict[str, object] = {}
         self.path, self.mtime, self.last_error = "", 0.0, ""
 
-    def load_rules(self, path: str) -> RuleEngine:
+    def load_rules(self, path: str, spark: SparkSession | None = None) -> RuleEngine:
+        """A local file, or, given a session, any path that Spark reads (such as s3a://...); lookups beside it are read alike."""
         mtime = os.path.getmtime(path) if os.path.exists(path) else 0.0
-        self._install(parser.parse_file(path))
+        read = (lambda p: spark.read.text(p, wholetext=True).first()[0]) if spark and "://" in path else None
+        self._install(parser.parse_file(path, read), read)
         self.path, self.mtime = path, mtime
         return self
 
@@ -65,8 +67,8 @@ class RuleEngine:
         self._install(parser.parse_ruleset(root, base_dir))
         return self
 
-    def _install(self, ruleset: Ruleset) -> None:
-        lookups = {s.name: load_lookup(s, ruleset.base_dir) for s in ruleset.lookups}
+    def _install(self, ruleset: Ruleset, read=None) -> None:
+        lookups = {s.name: load_lookup(s, ruleset.base_dir, read) for s in ruleset.lookups}
         for rule in ruleset.rules:
             for leaf in walk(rule.condition):
                 if leaf.family == "lookup" and leaf.args[0] not in lookups and leaf.args[0] not in self.lookups:
@@ -300,6 +302,13 @@ class Evaluation:
         """(decision, n, matched, total_score)."""
         return self.decisions().groupBy("decision").agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.sum("score").alias("total_score"))
 
+    def observed(self, name: str = "rules") -> tuple[DataFrame, Observation]:
+        """decisions() with counters that are filled while it runs: rows, matched rows, score range and sum, rows by decision."""
+        counters = [F.count("*").alias("records"), F.count_if("matched").alias("matched"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.sum("score").alias("score_sum")]
+        counters += [F.count_if(F.col("decision") == x).alias(f"decision_{x}") for x in self.registry.labels]
+        seen = Observation(name)
+        return self.decisions().observe(seen, *counters), seen
+
     def grouped(self, row_id: str) -> DataFrame:
         """(decision, rows): all row ids of each decision. The lists grow with the data; use filter_decision() for large inputs."""
         return self.decisions().groupBy("decision").agg(F.sort_array(F.collect_list(row_id)).alias("rows"))

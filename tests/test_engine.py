@@ -352,3 +352,19 @@ def test_random_trees(spark):
     for rule in parsed.rules:
         want = [holds(rule.condition, dict(zip(FIELDS, d[1:], strict=True))) for d in data]
         assert got[rule.id] == want, trees[rule.id]
+
+
+def test_observed_counters(spark):
+    df = spark.createDataFrame([(0, 50.0, "US"), (1, 150.0, "XX")], "id int, amount float, country string")
+    out, seen = engine(HIGH, BLOCKED).evaluate(df).observed("test")
+    assert out.count() == 2
+    got = seen.get
+    assert (got["records"], got["matched"], got["score_max"], got["decision_BLOCK"], got["decision_APPROVE"]) == (2, 1, 70.0, 1, 1)
+
+
+def test_rules_from_a_path_that_spark_reads(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("value\nM1\n")
+    rule = {"id": "r", "conditions": {"field": "m", "op": "in_lookup", "lookup": "x"}}
+    (tmp_path / "r.yaml").write_text(json.dumps({"lookups": {"x": {"type": "string_set", "path": "l.csv"}}, "rules": [rule]}))
+    df = spark.createDataFrame([("M1",), ("M2",)], "m string")
+    assert RuleEngine().load_rules(f"file://{tmp_path}/r.yaml", spark).evaluate(df).counts().first().n_matched == 1
