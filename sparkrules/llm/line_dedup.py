@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 RATIO = 0.1
 MIN_PAGES = 5
 #: The list of boilerplate lines is broadcast up to this many characters, else joined with a shuffle.
 BROADCAST_CHARS = 8 << 20
+#: Hashes of frequent lines are broadcast up to so many.
+BROADCAST_LINES = 200_000
 
 
 def lines_of(text: Column) -> Column:
@@ -32,6 +36,8 @@ def boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio:
         return known.where(F.col("pages") > F.col("total") * ratio)
 
     passed = often(each.groupBy("site", "h").agg(F.count("*").alias("pages"))).select(F.col("site").alias("s"), F.col("h").alias("k"))
+    passed = Scratch(df.sparkSession, "lines").table(passed)
+    passed = F.broadcast(passed) if passed.count() <= BROADCAST_LINES else passed
     again = each.join(passed, F.col("site").eqNullSafe(F.col("s")) & (F.col("h") == F.col("k")), "left_semi")
     return often(again.groupBy("site", "line").agg(F.count("*").alias("pages"))).select("site", "line", "pages", "total")
 
@@ -42,7 +48,8 @@ def drop_lines(df: DataFrame, site: str = "source", text: str = "text", ratio: f
     Texts without such a line stay byte for byte as they are; null stays null; a page may end up empty. A column named n_dropped is
     replaced. ``found`` may give the lines (site, line); else they are counted over df.
     """
-    found = boilerplate(df, site, text, ratio, min_pages) if found is None else found
+    if found is None:
+        found = Scratch(df.sparkSession, "lines").table(boilerplate(df, site, text, ratio, min_pages))
     lists = found.groupBy("site").agg(F.collect_set("line").alias("__drop"))  # (lines a page) / ratio of them at most
     chars = found.agg(F.sum(F.length("line") + 16)).first()[0] or 0
     lists = lists.withColumnRenamed("site", "__site")
