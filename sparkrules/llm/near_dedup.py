@@ -181,7 +181,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("lo")).select("x", F.least("x", "lo").alias("lo"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("a"), F.col("lo").alias("b")).distinct()
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("a"), F.col("lo").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("lo"))
         small = large.join(low, "a").where("b != lo").select(F.col("b").alias("a"), F.col("lo").alias("b")).union(low.select("a", F.col("lo").alias("b")))
         before, e = e, scratch.table(small.distinct())
@@ -208,6 +208,13 @@ def may_hold(words: np.ndarray, shas: pa.Array) -> np.ndarray:
     return (words[p >> 6] >> (p & 63)) & 1 == 1
 
 
+def _joined(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after further links: those that are known are stars, so few steps are left."""
+    if links.isEmpty():
+        return comps
+    return connected(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links), scratch)
+
+
 def _with_comps(df: DataFrame, comps: DataFrame) -> DataFrame:
     return df.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -298,10 +305,8 @@ def _rows(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str)
     if not still.isEmpty():
         ids = scratch.table(still.select("id").distinct())
         shared, bounds = _rare(ids, comps, sets, s, scratch)
-        links = scratch.table(links.union(verified(shared)))
-        comps = connected(links, scratch)
-        links = scratch.table(links.union(verified(_possible(still, comps, bounds))))
-        comps = connected(links, scratch)
+        comps = _joined(comps, scratch.table(verified(shared)), scratch)
+        comps = _joined(comps, scratch.table(verified(_possible(still, comps, bounds))), scratch)
     found = rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("comp", "rep"))
     return found.select("row", "id", "sha", "class")
 
