@@ -22,7 +22,7 @@ WORD_BYTES = bytes(
 #: Text is handled in Python in slices of about this many bytes, so that temporaries stay small.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 50_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -143,7 +143,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word to 64-bit hash; remembers ``keep`` words."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 100_000):
         import xxhash
 
         self._hash, self._keep = xxhash.xxh3_64_intdigest, keep
