@@ -7,6 +7,7 @@ import io
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +74,12 @@ def join_lookup(df: DataFrame, schema: Schema, leaf: Leaf, known: Lookup, name:
     if known.type == "ipv4_cidr_set":
         # ranges are disjoint, so each address meets one at most; they are cut at /8 borders for an equality key
         pieces = [(b8, max(lo, b8 << 24), min(hi, (b8 << 24) + (1 << 24) - 1)) for lo, hi in known.values for b8 in range(lo >> 24, (hi >> 24) + 1)]
-        right = spark.createDataFrame(pieces, "__b8 bigint, __lo bigint, __hi bigint")
+        right = spark.createDataFrame(pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("__b8", "__lo", "__hi"), zip(*pieces, strict=True), strict=True)}))
         ip = ip_number(b.column) if b.text else b.column.cast("bigint")
         left = df.withColumn("__ip", ip).withColumn("__ip8", F.shiftright("__ip", 24))
         on = (F.col("__ip8") == F.col("__b8")) & F.col("__ip").between(F.col("__lo"), F.col("__hi"))
         return left.join(hint(right), on, "left").withColumn(name, F.col("__b8").isNotNull()).drop("__ip", "__ip8", "__b8", "__lo", "__hi")
     kind = "bigint" if known.type == "int_set" else "string"
-    right = spark.createDataFrame([(v,) for v in known.values], f"__value {kind}")
+    right = spark.createDataFrame(pa.table({"__value": pa.array(known.values, pa.int64() if kind == "bigint" else pa.string())}))
     joined = df.join(hint(right), b.column.cast(kind) == F.col("__value"), "left")
     return joined.withColumn(name, F.col("__value").isNotNull()).drop("__value")

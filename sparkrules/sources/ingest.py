@@ -154,17 +154,17 @@ def unwrap_debezium(lines: DataFrame, value: str = "value", op_field: str = "__o
     Objects that are no envelopes pass as they are; an envelope without a state object is dropped. An envelope may stand
     inside ``payload``.
     """
-    inner = F.coalesce(F.get_json_object(value, "$.payload"), F.col(value))
-    df = lines.withColumn("__env", inner)
-    part = lambda name: F.get_json_object("__env", f"$.{name}")
-    op = part("op")
-    envelope = op.isNotNull() | part("before").isNotNull() | part("after").isNotNull()
-    state = F.when(op == "d", part("before")).otherwise(part("after"))
-    body = F.trim(F.substr(state, F.lit(2)))
-    named = F.concat(F.lit('{"' + op_field + '":'), F.to_json(F.array(F.coalesce(op, F.lit("u")))), F.when(body == "}", F.lit("")).otherwise(F.lit(",")), body)
-    fixed = F.regexp_replace(named, r'^(\{"[^"]*":)\[("(?:[^"\\]|\\.)*")\]', "$1$2")
-    out = df.withColumn(value, F.when(envelope, F.when(state.startswith("{"), fixed)).otherwise(F.col("__env")))
-    return out.drop("__env").where(F.col(value).isNotNull())
+    outer = lines.withColumn("__env", F.coalesce(F.from_json(value, "payload string")["payload"], F.col(value)))
+    df = outer.withColumn("__p", F.from_json("__env", "op string, before string, after string"))
+    op = F.col("__p.op")
+    df = df.withColumn("__state", F.when(op == "d", F.col("__p.before")).otherwise(F.col("__p.after")))
+    body = F.trim(F.substr("__state", F.lit(2)))
+    # the operation's JSON form is taken from an array of one, without the brackets
+    name = F.expr("substring(to_json(array(coalesce(__p.op, 'u'))), 2, length(to_json(array(coalesce(__p.op, 'u')))) - 2)")
+    named = F.concat(F.lit('{"' + op_field + '":'), name, F.when(body == "}", F.lit("")).otherwise(F.lit(",")), body)
+    envelope = op.isNotNull() | F.col("__p.before").isNotNull() | F.col("__p.after").isNotNull()
+    out = df.withColumn(value, F.when(envelope, F.when(F.col("__state").startswith("{"), named)).otherwise(F.col("__env")))
+    return out.drop("__env", "__p", "__state").where(F.col(value).isNotNull())
 
 
 def canonical_text(lines: DataFrame, source: str, service: str = "", instance: str = "", value: str = "value", now_ms: Column | None = None) -> DataFrame:
