@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, words_of
+from .common import Scratch, small_batches, text_slices, words_of
 
 CHUNK = 4096
 
@@ -49,7 +49,7 @@ class Settings:
 class Coder(dict):
     """Word to token; words outside the vocabulary go to buckets by a hash."""
 
-    def __init__(self, words: list[bytes], s: Settings, keep: int = 200_000):
+    def __init__(self, words: list[bytes], s: Settings, keep: int = 100_000):
         import xxhash
 
         super().__init__({w: i + 1 for i, w in enumerate(words)})
@@ -207,7 +207,8 @@ class Model:
 def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
     """A network trained once over every token of df. Without any token it stays at its start."""
     s = settings
-    counts = count_words(df, text)
+    small_batches(df.sparkSession)
+    counts = Scratch(df.sparkSession, "lm").table(count_words(df, text))
     head = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect()  # s.frequent rows
     words = [bytes(r["word"]) for r in head]
     total = counts.agg(F.sum("n")).first()[0] or 0 if head else 0
@@ -255,18 +256,20 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Texts without words (null, empty) have no tokens, the sum 0 and a null mean. A word outside the vocabulary counts as its
     bucket.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    small_batches(df.sparkSession)
+    settings = model.settings
+    sent = df.sparkSession.sparkContext.broadcast((model.words, model.values))
     kind = pa.struct([("n", pa.int64()), ("s", pa.float64())])
 
     @F.arrow_udf("struct<n:bigint,s:double>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = sent.value
-        coder, net = Coder(m.words, m.settings), Network(m.settings, m.values)
+        words, values = sent.value
+        coder, net = Coder(words, settings), Network(settings, values)
         for column in columns:
             n, s = [np.zeros(0, np.int64)], [np.zeros(0)]
             for _, texts in text_slices([pa.RecordBatch.from_arrays([column], names=["text"])]):
-                target, around, of = coder.windows(texts, m.settings.side)
-                b = m.settings.batch
+                target, around, of = coder.windows(texts, settings.side)
+                b = settings.batch
                 logs = [net.log_probs(target[i : i + b], around[i : i + b]) for i in range(0, len(target), b)]
                 n.append(np.bincount(of, minlength=len(texts)))
                 s.append(np.bincount(of, np.concatenate(logs) if logs else None, len(texts)).astype(np.float64))
