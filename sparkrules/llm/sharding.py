@@ -30,9 +30,10 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
 
 
-def shard_key(df: DataFrame, text: str = "text") -> Column:
+def shard_key(text: str = "text") -> Column:
+    """From the text and the column __hash, a hash of the whole row."""
     by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 64 - (KEY_BITS - ROW_BITS))
-    by_row = F.shiftrightunsigned(all_columns_hash(df), 64 - ROW_BITS)
+    by_row = F.shiftrightunsigned(F.col("__hash"), 64 - ROW_BITS)
     return F.shiftleft(by_text, ROW_BITS).bitwiseOR(by_row)
 
 
@@ -127,7 +128,8 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
     Columns named size, shard or slot are replaced. Columns that the caller does not select later are not exchanged.
     """
     spark = df.sparkSession
-    keyed = df.withColumns({"__key": shard_key(df, text), "size": size_of(F.col(text))})
+    hashed = df.withColumn("__hash", all_columns_hash(df))
+    keyed = hashed.withColumns({"__key": shard_key(text), "size": size_of(F.col(text))})
     scratch = Scratch(spark, "shard")
     # texts are read once here and once for the exchange; the rounds read 12 bytes a row
     keys = scratch.table(keyed.select(F.col("__key").alias("key"), "size"))
@@ -141,7 +143,7 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
         starts.append(at)
         at += counts.get(b, 0)
     first = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
-    nth = F.row_number().over(W.partitionBy("__bin").orderBy("__key", all_columns_hash(df)))
+    nth = F.row_number().over(W.partitionBy("__bin").orderBy("__key", "__hash"))
     return (
         keyed.withColumn("__bin", bin_of(F.col("__key"), found.cuts))
         .withColumns(
@@ -150,5 +152,5 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
                 "slot": (F.element_at(first, F.col("__bin") + 1) + nth - 1).cast("bigint"),
             }
         )
-        .drop("__key", "__bin")
+        .drop("__key", "__hash", "__bin")
     )
