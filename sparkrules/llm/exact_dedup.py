@@ -97,10 +97,13 @@ def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes
     named = scratch.table(name_texts(df, scratch, text, block_bytes, {id_col: F.col(id_col), "sha": sha}))
     best = F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("best")
     groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), best)
-    return named.join(groups, ["level", "name"]).select(
+    # only repeated texts are joined back, from a table, so that a hot group's rows can be split
+    groups = scratch.table(groups.where("group_size > 1"))
+    alone = F.col("group_size").isNull()
+    return named.join(groups, ["level", "name"], "left").select(
         id_col,
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("best.row") == F.col("__row")).alias("kept"),
+        F.when(alone, F.col(id_col)).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        (alone | (F.col("best.row") == F.col("__row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
