@@ -2,26 +2,38 @@
 
 The network predicts every token from the tokens on both sides: position-wise embeddings of the neighbours are summed and
 squashed, a first softmax gives the token's class and a second one the token within its class, which together normalise over
-the whole vocabulary. A document's score is the sum of its tokens' conditional log-probabilities.
+the whole vocabulary. A word outside the vocabulary is a bucket of many words for the network; its probability within the
+bucket comes from the stored counts of all words, which grow with the corpus and are joined, never collected. A document's
+score is the sum of its tokens' conditional log-probabilities.
 
-Vocabulary counts cover every document. Each partition trains on all of its own tokens from the same start; the
+Word counts cover every document. Each partition trains on all of its own tokens from the same start; the
 partitions' weights are averaged, weighted by tokens.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, text_slices, words_of
+from .common import Scratch, give_back, small_batches, text_slices, words_of
 
 CHUNK = 4096
+#: Every word counts so much more than it was seen, and each bucket has as many unseen words as seen ones.
+EXTRA = 0.5
+#: Words' logarithms are added in whole units, so that their order makes no difference.
+UNIT = 2.0**-24
+#: Texts are scored in groups of about so many different words outside the vocabulary, texts, and tokens outside it.
+GROUP_WORDS, GROUP_TEXTS, GROUP_TOKENS = 100_000, 50_000, 2_000_000
+SCORED = np.dtype([("sha", "V32"), ("n", "<i8"), ("s", "<f8")])
 
 
 @dataclass(frozen=True)
@@ -76,6 +88,52 @@ class Coder(dict):
         return stream[at], stream[around] if len(at) else np.zeros((0, 2 * side), np.int64), of[at]
 
 
+class Group(Coder):
+    """Texts that are scored together: words outside the vocabulary get numbers of their own, which lead to their buckets."""
+
+    def __init__(self, words: list[bytes], s: Settings):
+        super().__init__(words, s)
+        self.tokens, self.unknown = list(range(s.vocabulary)), []
+        self.texts, self.word_at, self.text_at = [], [], []
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.tokens)
+        self.tokens.append(self._first + self._hash(word) % self._rare)
+        self.unknown.append(word)
+        return n
+
+    def take(self, texts: list[bytes | None], net: Network, within: np.ndarray) -> None:
+        """Scores texts by the network and ``within``, which a token adds by its bucket; notes where unknown words stand."""
+        s = net.s
+        number, around, of = self.windows(texts, s.side)
+        token = np.array(self.tokens, np.int64)
+        target, around = token[number], token[around]
+        logs = [net.log_probs(target[i : i + s.batch], around[i : i + s.batch]) for i in range(0, len(target), s.batch)]
+        done = np.zeros(len(texts), SCORED)
+        for i, t in enumerate(texts):
+            done["sha"][i] = np.void(hashlib.sha256(t or b"").digest())
+        done["n"] = np.bincount(of, minlength=len(texts))
+        done["s"] = np.bincount(of, np.concatenate(logs) + within[target] if logs else None, len(texts))
+        own = number >= s.vocabulary
+        self.word_at.append((number[own] - s.vocabulary).astype(np.int32))
+        self.text_at.append((of[own] + sum(map(len, self.texts))).astype(np.int32))
+        self.held += int(own.sum())
+        self.texts.append(done)
+
+    def full(self) -> bool:
+        return len(self.unknown) > GROUP_WORDS or self.held > GROUP_TOKENS or sum(map(len, self.texts)) > GROUP_TEXTS
+
+    def rows(self, group: int) -> Iterator[pa.RecordBatch]:
+        """First a row without a word that holds the texts' scores; then a row for each unknown word with the numbers of its texts."""
+        names = ["group", "word", "data"]
+        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([None], pa.binary()), pa.array([np.concatenate(self.texts).tobytes()])], names=names)
+        at, text = np.concatenate(self.word_at), np.concatenate(self.text_at)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.unknown)))]).astype(np.int32) * 4
+        data = pa.Array.from_buffers(pa.binary(), len(self.unknown), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text[np.argsort(at, kind="stable")])])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), group)), pa.array(self.unknown, pa.binary()), data], names=names)
+
+
 class Network:
     """Parameters in one float32 vector, with named views."""
 
@@ -202,6 +260,19 @@ class Model:
     words: list[bytes]
     values: np.ndarray
     tokens: int
+    #: (word, n) of all words, and what each token adds by its bucket.
+    counts: DataFrame
+    within: np.ndarray
+
+
+def token_of(words: list[bytes], s: Settings):
+    @F.arrow_udf("int")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = Coder(words, s, keep=0)
+        for column in columns:
+            yield pa.array([coder[w] for w in column.to_pylist()], pa.int32())
+
+    return run(F.col("word"))
 
 
 def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
@@ -211,10 +282,12 @@ def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") ->
     counts = Scratch(df.sparkSession, "lm").table(count_words(df, text))
     head = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect()  # s.frequent rows
     words = [bytes(r["word"]) for r in head]
-    total = counts.agg(F.sum("n")).first()[0] or 0 if head else 0
-    unigram = np.zeros(s.vocabulary)
-    unigram[1 : len(head) + 1] = [r["n"] for r in head]
-    unigram[s.vocabulary - s.rare :] = (total - unigram.sum()) / s.rare
+    unigram, kinds = np.zeros(s.vocabulary), np.zeros(s.vocabulary)
+    for r in counts.groupBy(token_of(words, s).alias("token")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row a token
+        unigram[r["token"]], kinds[r["token"]] = r["n"], r["kinds"]
+    first = s.vocabulary - s.rare
+    within = np.zeros(s.vocabulary)
+    within[first:] = -np.log(unigram[first:] + 2 * EXTRA * np.maximum(kinds[first:], 1))
     start = Network(s, counts=unigram).values
     sent = df.sparkSession.sparkContext.broadcast((words, start))
 
@@ -247,34 +320,68 @@ def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") ->
         part = np.frombuffer(bytes(r["sums"])) / r["seen"]
         values[at : at + len(part)] = part
         seen = r["seen"]
-    return Model(s, words, values, seen)
+    return Model(s, words, values, seen, counts, within)
+
+
+def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sha, n, s) from rows of groups in order, each begun by its texts' scores; ``value`` is a word's logarithm in UNITs."""
+    texts, sums = np.zeros(0, SCORED), np.zeros(0)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts["sha"]], pa.binary()), pa.array(texts["n"]), pa.array(texts["s"] + sums * UNIT)], names=["sha", "n", "s"])
+
+    for b in batches:
+        data = b.column("data")
+        value = b.column("value").to_numpy(zero_copy_only=False)
+        heads = np.nonzero(b.column("value").is_null().to_numpy(zero_copy_only=False))[0]
+        cuts = [0, *heads.tolist(), b.num_rows]
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if k:
+                if len(texts):
+                    yield out()
+                texts, lo = np.frombuffer(data[lo].as_py(), SCORED), lo + 1
+                sums = np.zeros(len(texts))
+            if lo < hi:
+                at = np.concatenate([np.frombuffer(x, np.int32) for x in data[lo:hi].to_pylist()])
+                times = pc.binary_length(data[lo:hi]).to_numpy() // 4
+                sums += np.bincount(at, np.repeat(value[lo:hi], times), len(sums))
+    if len(texts):
+        yield out()
+    give_back()
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with ``n_tokens``, ``sum_logprob`` and ``mean_logprob``; columns of these names are replaced.
 
     Texts without words (null, empty) have no tokens, the sum 0 and a null mean. A word outside the vocabulary counts as its
-    bucket.
+    bucket times its share in the bucket, (count + EXTRA) of the bucket's sum; a word that was never seen has the count 0.
     """
     small_batches(df.sparkSession)
     settings = model.settings
-    sent = df.sparkSession.sparkContext.broadcast((model.words, model.values))
-    kind = pa.struct([("n", pa.int64()), ("s", pa.float64())])
+    sent = df.sparkSession.sparkContext.broadcast((model.words, model.values, model.within))
+    scratch = Scratch(df.sparkSession, "lm")
 
-    @F.arrow_udf("struct<n:bigint,s:double>")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, values = sent.value
-        coder, net = Coder(words, settings), Network(settings, values)
-        for column in columns:
-            n, s = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, texts in text_slices([pa.RecordBatch.from_arrays([column], names=["text"])]):
-                target, around, of = coder.windows(texts, settings.side)
-                b = settings.batch
-                logs = [net.log_probs(target[i : i + b], around[i : i + b]) for i in range(0, len(target), b)]
-                n.append(np.bincount(of, minlength=len(texts)))
-                s.append(np.bincount(of, np.concatenate(logs) if logs else None, len(texts)).astype(np.float64))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(s))], fields=list(kind))
-
-    scored = df.withColumn("__lm", run(F.col(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, values, within = sent.value
+        net, group = Network(settings, values), Group(words, settings)
+        number = TaskContext.get().partitionId() << 32
+        for _, texts in text_slices(batches):
+            group.take(texts, net, within)
+            if group.full():
+                yield from group.rows(number)
+                group, number = Group(words, settings), number + 1
+        if group.texts:
+            yield from group.rows(number)
+
+    held = scratch.table(df.select(F.col(text).alias("text")).mapInArrow(run, "group bigint, word binary, data binary"))
+    value = F.round(F.log(F.coalesce("n", F.lit(0)) + EXTRA) / UNIT).cast("bigint").alias("value")
+    known = held.where("word is not null").join(model.counts, "word", "left").select("group", "data", value)
+    every = held.where("word is null").select("group", "data", F.lit(None).cast("bigint").alias("value")).union(known)
+    every = every.repartition("group").sortWithinPartitions("group", F.col("value").isNotNull())
+    each = every.mapInArrow(_add_words, "sha binary, n bigint, s double")
+    # equal texts get one score
+    found = scratch.table(each.groupBy(F.col("sha").alias("__sha")).agg(F.max(F.struct("n", "s")).alias("__lm")))
+    scratch.drop(held)
+    scored = df.withColumn("__sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))).join(found, "__sha", "left")
     out = {"n_tokens": F.col("__lm.n"), "sum_logprob": F.col("__lm.s"), "mean_logprob": F.try_divide(F.col("__lm.s"), F.col("__lm.n"))}
-    return scored.withColumns(out).drop("__lm")
+    return scored.withColumns(out).drop("__lm", "__sha")

@@ -264,6 +264,30 @@ def test_lm_prefers_order_it_has_seen(spark):
     assert model.tokens == 150 * 80
 
 
+def test_lm_knows_every_word(spark):
+    """Words outside the vocabulary count by their own counts, as in a sum over plain dictionaries; unseen words count least."""
+    rng = random.Random(10)
+    s = lm_scoring.Settings(classes=4, per_class=8, rare=4)
+    texts = [prose(rng, 120) for _ in range(60)]
+    model = lm_scoring.train(docs_of(spark, texts), s)
+    unseen = " ".join(f"q{i}" for i in range(120))
+    probe = [texts[0], unseen, texts[0].replace(" w", " ") + " w1 w1 w1", texts[0]]
+    got = {r.doc_id: r for r in lm_scoring.score(docs_of(spark, probe), model).collect()}
+    assert got[1].mean_logprob < min(got[0].mean_logprob, got[2].mean_logprob) - 0.5 and got[3].sum_logprob == got[0].sum_logprob
+    counts = Counter(w for t in texts for w in words_of(t.encode()))
+    coder, net = lm_scoring.Coder(model.words, s), lm_scoring.Network(s, model.values)
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[coder[w]] += n
+        kinds[coder[w]] += 1
+    for i, t in enumerate(probe):
+        want = net.log_probs(*coder.windows([t.encode()], s.side)[:2]).astype(float).sum()
+        for w in words_of(t.encode()):
+            if w not in model.words:
+                want += np.log((counts[w] + 0.5) / (size[coder[w]] + kinds[coder[w]]))
+        assert got[i].sum_logprob == pytest.approx(want, abs=1e-2)
+
+
 def test_lm_odd(odd_documents, no_documents):
     model = lm_scoring.train(odd_documents)
     got = lm_scoring.score(odd_documents, model)
