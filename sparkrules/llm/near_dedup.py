@@ -1,10 +1,11 @@
 """Near-duplicate detection with ProbMinHash.
 
-A text is the weighted set of its word shingles (weight: 1 + ln of the count). Every shingle is a Poisson process of
-arrivals whose rate is its weight; each arrival falls into one of m registers, and a register keeps the shingle that
-arrived first. Two texts agree in a register with their probability Jaccard similarity. Arrivals are generated only up to the
-time by which all registers are taken, which ends the work after about m ln m arrivals a text. Bands of registers
-give candidates, and each link is verified by the exact Jaccard similarity of the texts' shingle sets.
+A text is the set of its word shingles, all of weight 1, as links are verified on sets: weights by counts would let repeats move
+a pair out of its bands. Every shingle is a Poisson process of arrivals whose rate is its weight; each arrival falls into one
+of m registers, and a register keeps the shingle that arrived first. Two texts agree in a register with their probability
+Jaccard similarity, which for equal weights is the Jaccard similarity of the sets. Arrivals are generated only up to the time
+by which all registers are taken, which ends the work after about m ln m arrivals a text. Bands of registers give
+candidates, and each link is verified by the exact Jaccard similarity of the texts' shingle sets.
 
 Links are found without listing the pairs of a bucket. First each bucket's members are compared with the one that meets
 most other texts, and connected texts are joined. Then only buckets whose members are still in several classes matter. In
@@ -122,8 +123,8 @@ def bands_of(text: Column, s: Settings) -> Column:
         for column in columns:
             out = [pa.array([], pa.list_(pa.int64()))]
             for part in _slices(column):
-                owner, element, count = shingles(part, hashes, s.shingle)
-                keys = band_keys(signatures(owner, element, 1 + np.log(count), len(part), s.bands * s.rows), s.bands)
+                owner, element, _ = shingles(part, hashes, s.shingle)
+                keys = band_keys(signatures(owner, element, np.ones(len(owner)), len(part), s.bands * s.rows), s.bands)
                 some = np.bincount(owner, minlength=len(part)) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * s.bands)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1))))
