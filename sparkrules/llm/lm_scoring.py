@@ -6,13 +6,15 @@ the whole vocabulary. A word outside the vocabulary is a bucket of many words fo
 bucket comes from the stored counts of all words, which grow with the corpus and are joined, never collected. A document's
 score is the sum of its tokens' conditional log-probabilities.
 
-Word counts cover every document. Each partition trains on all of its own tokens from the same start; the
-partitions' weights are averaged, weighted by tokens.
+Word counts cover every document. Documents are dealt by a hash of their rows to groups of about equal size, whatever files
+they come from. In each of a few rounds some groups train, each on all of its tokens, from the averages of the round before;
+every group trains once. Averages, of weights and of Adagrad's sums, are weighted by tokens.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, small_batches, text_slices, words_of
+from .common import Scratch, all_columns_hash, give_back, small_batches, text_slices, words_of
 
 CHUNK = 4096
 #: Every word counts so much more than it was seen, and each bucket has as many unseen words as seen ones.
@@ -32,7 +34,7 @@ EXTRA = 0.5
 #: Words' logarithms are added in whole units, so that their order makes no difference.
 UNIT = 2.0**-24
 #: Texts are scored in groups of about so many different words outside the vocabulary, texts, and tokens outside it.
-GROUP_WORDS, GROUP_TEXTS, GROUP_TOKENS = 100_000, 50_000, 2_000_000
+GROUP_WORDS, GROUP_TEXTS, GROUP_TOKENS = 300_000, 50_000, 2_000_000
 SCORED = np.dtype([("sha", "V32"), ("n", "<i8"), ("s", "<f8")])
 
 
@@ -48,6 +50,8 @@ class Settings:
     batch: int = 8192
     rate: float = 0.1
     seed: int = 7
+    group_tokens: int = 1 << 19
+    rounds: int = 4
 
     @property
     def vocabulary(self) -> int:
@@ -134,6 +138,14 @@ class Group(Coder):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), group)), pa.array(self.unknown, pa.binary()), data], names=names)
 
 
+def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits less a maximum, their exponentials and the sums of rows; one maximum serves all rows if they are close."""
+    top = logit.max()
+    logit -= top if top - logit.min() < 60 else logit.max(1, keepdims=True)
+    e = np.exp(logit)
+    return logit, e, e @ np.ones(logit.shape[1], logit.dtype)
+
+
 class Network:
     """Parameters in one float32 vector, with named views."""
 
@@ -167,14 +179,11 @@ class Network:
     def log_probs(self, target: np.ndarray, around: np.ndarray, grad: Network | None = None) -> np.ndarray:
         """ln p(target | both sides) of each row; with grad, its parameters get the mean gradient of the negative sum."""
         n, k = len(target), self.s.per_class
-        group, member = target // k, target % k
+        group, member = (target // k).astype(np.int16), target % k
         h = self._hidden(around)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.s.classes + 1))
-        logit = h @ self.C + self.c
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        z = e.sum(1)
+        logit, e, z = _exp(h @ self.C + self.c)
         rows = np.arange(n)
         out = logit[rows, group] - np.log(z)
         if grad is not None:
@@ -191,10 +200,7 @@ class Network:
             if not len(own):
                 continue
             hg, m, r = h[own], member[own], np.arange(len(own))
-            logit = hg @ self.W[g] + self.w[g]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            z = e.sum(1)
+            logit, e, z = _exp(hg @ self.W[g] + self.w[g])
             out[own] += logit[r, m] - np.log(z)
             if grad is not None:
                 p = e / z[:, None]
@@ -216,21 +222,31 @@ class Network:
 
 
 class Trainer:
-    """Adagrad over batches of windows."""
-
-    def __init__(self, s: Settings, start: np.ndarray):
-        self.net, self.grad = Network(s, start), Network(s, np.zeros_like(start))
-        self.sum = np.full(len(start), 1e-8, np.float32)
-        self.seen = 0
-
-    def learn(self, target: np.ndarray, around: np.ndarray) -> None:
-        b = self.net.s.batch
-        for i in range(0, len(target), b):
-            self.net.log_probs(target[i : i + b], around[i : i + b], self.grad)
+    """Adagrad over batches of windows; ``state`` holds the parameters and then their sums of squares."""
+
+    def __init__(self, s: Settings, state: np.ndarray):
+        values, self.sum = np.split(state.astype(np.float32), 2)
+        self.net, self.grad = Network(s, values), Network(s, np.zeros_like(values))
+        self.seen, self.waiting = 0, []
+
+    def learn(self, target: np.ndarray, around: np.ndarray, last: bool = False) -> None:
+        """Whole batches only, however the windows arrive; the rest waits until ``last``."""
+        self.waiting.append((target, around))
+        b, n = self.net.s.batch, sum(len(t) for t, _ in self.waiting)
+        if n < b and not last:
+            return
+        target, around = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        end = n if last else n - n % b
+        for i in range(0, end, b):
+            self.net.log_probs(target[i : min(i + b, end)], around[i : min(i + b, end)], self.grad)
             g = self.grad.values
             self.sum += g * g
             self.net.values -= self.net.s.rate * g / np.sqrt(self.sum)
-        self.seen += len(target)
+        self.seen += end
+        self.waiting = [(target[end:], around[end:])]
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.net.values, self.sum])
 
 
 def count_words(df: DataFrame, text: str = "text", keep: int = 100_000) -> DataFrame:
@@ -275,51 +291,79 @@ def token_of(words: list[bytes], s: Settings):
     return run(F.col("word"))
 
 
-def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
-    """A network trained once over every token of df. Without any token it stays at its start."""
-    s = settings
-    small_batches(df.sparkSession)
-    counts = Scratch(df.sparkSession, "lm").table(count_words(df, text))
-    head = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect()  # s.frequent rows
-    words = [bytes(r["word"]) for r in head]
-    unigram, kinds = np.zeros(s.vocabulary), np.zeros(s.vocabulary)
-    for r in counts.groupBy(token_of(words, s).alias("token")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row a token
-        unigram[r["token"]], kinds[r["token"]] = r["n"], r["kinds"]
-    first = s.vocabulary - s.rare
-    within = np.zeros(s.vocabulary)
-    within[first:] = -np.log(unigram[first:] + 2 * EXTRA * np.maximum(kinds[first:], 1))
-    start = Network(s, counts=unigram).values
-    sent = df.sparkSession.sparkContext.broadcast((words, start))
+def _round(df: DataFrame, words: list[bytes], state: np.ndarray, s: Settings) -> tuple[np.ndarray, int]:
+    """The state after every group of df has trained from ``state``, and the number of tokens; groups are whole and in order."""
+    sent = df.sparkSession.sparkContext.broadcast((words, state))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = sent.value
-        coder, trainer = Coder(words, s), Trainer(s, start)
-        for _, texts in text_slices(batches):
-            target, around, _ = coder.windows(texts, s.side)
-            trainer.learn(target, around)
-        if trainer.seen:
-            parts = [trainer.net.values[i : i + CHUNK].astype(np.float64) * trainer.seen for i in range(0, len(start), CHUNK)]
-            columns = [pa.array(range(len(parts)), pa.int32()), pa.array([trainer.seen] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "seen", "sums"])
+        words, state = sent.value
+        coder, trainer, now = Coder(words, s), Trainer(s, state), None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            trainer.learn(np.zeros(0, np.int64), np.zeros((0, 2 * s.side), np.int64), last=True)
+            if trainer.seen:
+                new = trainer.state().astype(np.float64) * trainer.seen
+                parts = [new[i : i + CHUNK].tobytes() for i in range(0, len(new), CHUNK)]
+                columns = [pa.array(range(len(parts)), pa.int32()), pa.array([now] * len(parts), pa.int64()), pa.array([trainer.seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "group", "seen", "sums"])
+
+        for batch, texts in text_slices(batches):
+            of = batch.column("group").to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if of[lo] != now:
+                    yield from out()
+                    trainer, now = Trainer(s, state), int(of[lo])
+                target, around, _ = coder.windows(texts[lo:hi], s.side)
+                trainer.learn(target, around)
+        yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         seen: Counter = Counter()
         for b in batches:
-            for chunk, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for chunk, n, raw in zip(*(b.column(i).to_pylist() for i in ("chunk", "seen", "sums")), strict=True):
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw)
                 seen[chunk] += n
         columns = [pa.array(list(sums), pa.int32()), pa.array([seen[c] for c in sums], pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["chunk", "seen", "sums"])
 
-    kind = "chunk int, seen bigint, sums binary"
-    learned = df.select(F.col(text).alias("text")).mapInArrow(learn, kind).repartition("chunk").mapInArrow(add, kind)
-    values, seen = start.copy(), 0
-    for r in learned.collect():  # one row a chunk
+    learned = df.mapInArrow(learn, "chunk int, group bigint, seen bigint, sums binary")
+    # added in the groups' order, so that sums are the same to the last bit
+    added = learned.repartition("chunk").sortWithinPartitions("group").mapInArrow(add, "chunk int, seen bigint, sums binary")
+    state, seen = state.copy(), 0
+    for r in added.collect():  # one row a chunk
         at = r["chunk"] * CHUNK
         part = np.frombuffer(bytes(r["sums"])) / r["seen"]
-        values[at : at + len(part)] = part
+        state[at : at + len(part)] = part
         seen = r["seen"]
+    return state, seen
+
+
+def train(df: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
+    """A network trained once over every token of df. Without any token it stays at its start."""
+    s = settings
+    small_batches(df.sparkSession)
+    counts = Scratch(df.sparkSession, "lm").table(count_words(df, text))
+    head = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect()  # s.frequent rows
+    words = [bytes(r["word"]) for r in head]
+    unigram, kinds = np.zeros(s.vocabulary), np.zeros(s.vocabulary)
+    for r in counts.groupBy(token_of(words, s).alias("token")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row a token
+        unigram[r["token"]], kinds[r["token"]] = r["n"], r["kinds"]
+    first = s.vocabulary - s.rare
+    within = np.zeros(s.vocabulary)
+    within[first:] = -np.log(unigram[first:] + 2 * EXTRA * np.maximum(kinds[first:], 1))
+    start = Network(s, counts=unigram).values
+    state, seen = np.concatenate([start, np.full(len(start), 1e-8, np.float32)]), 0
+    groups = max(1, math.ceil(unigram.sum() / s.group_tokens))
+    rounds = min(s.rounds, groups)
+    order = all_columns_hash(df)
+    dealt = df.select(F.col(text).alias("text"), order.alias("order"), F.pmod(order, F.lit(groups)).alias("group"))
+    for r in range(rounds):
+        own = dealt.where(F.col("group") % rounds == r).repartition(math.ceil(groups / rounds), "group")
+        state, n = _round(own.sortWithinPartitions("group", "order", "text"), words, state, s)
+        seen += n
+    values = state[: len(start)]
     return Model(s, words, values, seen, counts, within)
 
 

@@ -300,6 +300,15 @@ def test_lm_knows_every_word(spark):
         assert got[i].sum_logprob == pytest.approx(want, abs=1e-2)
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    s = lm_scoring.Settings(classes=4, per_class=8, rare=4, batch=64, group_tokens=1500)
+    docs = docs_of(spark, [prose(rng, rng.randrange(0, 120)) for _ in range(150)] + ["same text here"] * 40)
+    one, many = (lm_scoring.train(docs.repartition(n), s) for n in (1, 37))
+    assert one.tokens == many.tokens > 3 * 1500 and one.words == many.words
+    assert (one.values == many.values).all()
+
+
 def test_lm_odd(odd_documents, no_documents):
     model = lm_scoring.train(odd_documents)
     got = lm_scoring.score(odd_documents, model)
