@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier, ProbMinHash and the dynamic programme have no SQL form; tests hold run() against brute-force versions.
+#: The classifier, ProbMinHash and the dynamic programme have no SQL form; tests/llm/test_pipeline_by_hand.py holds stages and run() against plain Python.
 ORACLE_SQL = None
 
 
