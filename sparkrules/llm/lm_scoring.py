@@ -78,18 +78,21 @@ class Coder(dict):
         return t
 
     def windows(self, texts: list[bytes | None], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Targets, their 2 * side neighbours and the target's text; token 0 pads each text on both sides."""
-        tokens, owner = [], []
-        pad = [0] * side
+        """Targets, their 2 * side neighbours (stored by place) and the target's text; token 0 pads each text on both sides."""
+        words: list[bytes] = []
+        lengths = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            own = list(map(self.__getitem__, words_of(t)))
-            if own:
-                tokens += pad + own + pad
-                owner += [-1] * side + [i] * len(own) + [-1] * side
-        stream, of = np.array(tokens, np.int64), np.array(owner, np.int64)
-        at = np.nonzero(of >= 0)[0]
-        around = at[:, None] + np.array([o for o in range(-side, side + 1) if o])
-        return stream[at], stream[around] if len(at) else np.zeros((0, 2 * side), np.int64), of[at]
+            own = words_of(t)
+            lengths[i] = len(own)
+            words += own
+        coded = pa.array(words, pa.binary()).dictionary_encode()  # each word of a slice is looked up once
+        kinds = coded.dictionary.to_pylist()
+        token = np.fromiter(map(self.__getitem__, kinds), np.int32, len(kinds))[coded.indices.to_numpy()]
+        of = np.repeat(np.arange(len(texts)), lengths)
+        at = np.arange(len(token)) + side * (2 * of + 1)
+        stream = np.zeros(len(token) + 2 * side * len(texts), np.int32)
+        stream[at] = token
+        return token, np.stack([stream[at + o] for o in range(-side, side + 1) if o]).T, of
 
 
 class Group(Coder):
@@ -139,9 +142,9 @@ class Group(Coder):
 
 
 def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits less a maximum, their exponentials and the sums of rows; one maximum serves all rows if they are close."""
-    top = logit.max()
-    logit -= top if top - logit.min() < 60 else logit.max(1, keepdims=True)
+    """Logits, less their row's maximum if any is large, their exponentials and the sums of rows."""
+    if logit.max() > 60 or logit.min() < -60:
+        logit -= logit.max(1, keepdims=True)
     e = np.exp(logit)
     return logit, e, e @ np.ones(logit.shape[1], logit.dtype)
 
@@ -170,22 +173,25 @@ class Network:
                 self.c[:] = np.log(p.sum(1))
                 self.w[:] = np.log(p / p.sum(1, keepdims=True))
 
-    def _hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.E[0][around[:, 0]]
-        for o in range(1, around.shape[1]):
-            h += self.E[o][around[:, o]]
-        return np.tanh(h + self.b)
+    def _hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        h = self.E[0].take(around[0], axis=0)
+        for o in range(1, len(around)):
+            h += self.E[o].take(around[o], axis=0)
+        h += self.b
+        return np.tanh(h, out=h)
 
     def log_probs(self, target: np.ndarray, around: np.ndarray, grad: Network | None = None) -> np.ndarray:
         """ln p(target | both sides) of each row; with grad, its parameters get the mean gradient of the negative sum."""
         n, k = len(target), self.s.per_class
-        group, member = (target // k).astype(np.int16), target % k
+        # rows stand by class, so that each class is a slice
+        order = np.argsort((target // k).astype(np.uint16), kind="stable")
+        group, member = np.divmod(target[order], k)
+        around = [around[order, o] for o in range(around.shape[1])]
+        cuts = np.searchsorted(group, np.arange(self.s.classes + 1))
         h = self._hidden(around)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.s.classes + 1))
         logit, e, z = _exp(h @ self.C + self.c)
         rows = np.arange(n)
-        out = logit[rows, group] - np.log(z)
+        found = logit[rows, group] - np.log(z)
         if grad is not None:
             p = e / z[:, None]
             p[rows, group] -= 1
@@ -196,28 +202,31 @@ class Network:
             grad.W[:] = 0
             grad.w[:] = 0
         for g in range(self.s.classes):
-            own = order[cuts[g] : cuts[g + 1]]
-            if not len(own):
+            own = slice(cuts[g], cuts[g + 1])
+            hg, m, r = h[own], member[own], rows[: cuts[g + 1] - cuts[g]]
+            if not len(r):
                 continue
-            hg, m, r = h[own], member[own], np.arange(len(own))
             logit, e, z = _exp(hg @ self.W[g] + self.w[g])
-            out[own] += logit[r, m] - np.log(z)
+            found[own] += logit[r, m] - np.log(z)
             if grad is not None:
-                p = e / z[:, None]
-                p[r, m] -= 1
-                p /= n
-                grad.W[g] = hg.T @ p
-                grad.w[g] = p.sum(0)
-                dh[own] += p @ self.W[g].T
+                e /= z[:, None]
+                e[r, m] -= 1
+                e /= n
+                grad.W[g] = hg.T @ e
+                grad.w[g] = e.sum(0)
+                dh[own] += e @ self.W[g].T
         if grad is not None:
             dh *= 1 - h * h
             grad.b[:] = dh.sum(0)
-            d, v = self.s.width, self.s.vocabulary
-            lanes = np.arange(d)
-            flat = dh.reshape(-1)
-            for o in range(around.shape[1]):
-                at = (around[:, o, None] * d + lanes).reshape(-1)
-                grad.E[o] = np.bincount(at, flat, v * d).reshape(v, d)
+            grad.E[:] = 0
+            for o, column in enumerate(around):
+                token = column.astype(np.uint16 if self.s.vocabulary < 1 << 16 else np.int64)
+                by = np.argsort(token, kind="stable")
+                token = token[by]
+                first = np.concatenate([[0], np.nonzero(np.diff(token))[0] + 1])
+                grad.E[o, token[first]] = np.add.reduceat(dh[by], first, axis=0)
+        out = np.empty(n, found.dtype)
+        out[order] = found
         return out
 
 
@@ -300,7 +309,7 @@ def _round(df: DataFrame, words: list[bytes], state: np.ndarray, s: Settings) ->
         coder, trainer, now = Coder(words, s), Trainer(s, state), None
 
         def out() -> Iterator[pa.RecordBatch]:
-            trainer.learn(np.zeros(0, np.int64), np.zeros((0, 2 * s.side), np.int64), last=True)
+            trainer.learn(np.zeros(0, np.int32), np.zeros((0, 2 * s.side), np.int32), last=True)
             if trainer.seen:
                 new = trainer.state().astype(np.float64) * trainer.seen
                 parts = [new[i : i + CHUNK].tobytes() for i in range(0, len(new), CHUNK)]
