@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
@@ -18,6 +17,7 @@ from .functions.vectors import array_similarity, similarity
 from .operators import decide
 from .operators.lookups import Lookup, join_lookup, load_lookup, make_lookup
 from .operators.windows import NULL_VALUE, add_windows
+from .paths import modified, read_text
 from .plans import parser
 from .plans.binding import Schema
 from .plans.conflict import ConflictReport, analyze
@@ -41,6 +41,18 @@ class EngineConfig:
             raise ConfigError("INVALID_ENGINE_CONFIG", f"missing_model: {self.missing_model!r}")
 
 
+@dataclass
+class ReloadStatus:
+    """What has become of the rules file: how often it was read again, and why the last try failed, if it did."""
+
+    path: str = ""
+    modified: float = 0.0
+    version: str = ""
+    reloads: int = 0
+    failures: int = 0
+    last_error: str = ""
+
+
 class RuleEngine:
     """Holds one ruleset at a time; loading a new one replaces it whole, and a failed load changes nothing."""
 
@@ -49,14 +61,20 @@ class RuleEngine:
         self.ruleset: Ruleset | None = None
         self.lookups: dict[str, Lookup] = {}
         self.models: dict[str, object] = {}
-        self.path, self.mtime, self.last_error = "", 0.0, ""
+        self.status = ReloadStatus()
+        self._spark: SparkSession | None = None
+
+    @property
+    def last_error(self) -> str:
+        return self.status.last_error
 
     def load_rules(self, path: str, spark: SparkSession | None = None) -> RuleEngine:
         """A local file, or, given a session, any path that Spark reads (such as s3a://...); lookups beside it are read alike."""
-        mtime = os.path.getmtime(path) if os.path.exists(path) else 0.0
-        read = (lambda p: spark.read.text(p, wholetext=True).first()[0]) if spark and "://" in path else None
+        at = modified(path, spark)
+        read = (lambda p: read_text(p, spark)) if spark and "://" in path else None
         self._install(parser.parse_file(path, read), read)
-        self.path, self.mtime = path, mtime
+        self._spark = spark
+        self.status = replace(self.status, path=path, modified=at, version=self.ruleset.version, last_error="")
         return self
 
     def load_rules_from_string(self, text: str, base_dir: str = ".") -> RuleEngine:
@@ -84,15 +102,19 @@ class RuleEngine:
         self.models[name] = model
 
     def reload_if_changed(self) -> bool:
-        """Loads the rules file again when it has changed; on an error the old rules stay and last_error says why."""
-        if not self.path or not os.path.exists(self.path) or os.path.getmtime(self.path) == self.mtime:
+        """Loads the rules file again, by the way it was first read, when it has changed.
+
+        On an error the old rules stay, ``status`` says why, and the file is tried again when it changes once more.
+        """
+        if not self.status.path or not (at := modified(self.status.path, self._spark)) or at == self.status.modified:
             return False
         try:
-            self.load_rules(self.path)
-            self.last_error = ""
+            self.load_rules(self.status.path, self._spark)
+            self.status.reloads += 1
             return True
         except Exception as e:  # noqa: BLE001  whatever is wrong with the new file, the old rules stay
-            self.mtime, self.last_error = os.path.getmtime(self.path), str(e)
+            self.status.modified, self.status.last_error = at, str(e)
+            self.status.failures += 1
             return False
 
     def analyze_conflicts(self) -> ConflictReport:
@@ -218,16 +240,17 @@ class Evaluation:
             return array_similarity(leaf.metric, first.column, leaf.reference)
         return similarity(leaf.metric, [self.schema.resolve(d).column for d in leaf.dims], leaf.reference)
 
-    def _fired(self) -> DataFrame:
-        """Source columns and a boolean __r{i} for each rule. Distinct predicates are computed once, in a projection of their own."""
+    def _fired(self, more: dict[str, Column] | None = None) -> DataFrame:
+        """Source columns, ``more``, and a boolean __r{i} for each rule. Distinct predicates are computed once, in a projection of their own."""
         df, derived = self._derived
         own = [c for c in self.source.columns]
         predicates = []
         for leaf, column in self._leaves.items():
             late = isinstance(leaf, WindowLeaf | ModelLeaf | VectorLeaf) or leaf.family == "lookup"
             predicates.append((compile_leaf(leaf, self._scope(derived=derived)) if late else column).alias(self._names[leaf]))
-        stage = df.select(*[f"`{c}`" for c in own], *predicates)
-        return stage.select(*[f"`{c}`" for c in own], *[c.alias(f"__r{i}") for i, c in enumerate(self._fires)])
+        extra = [c.alias(name) for name, c in (more or {}).items()]
+        stage = df.select(*[f"`{c}`" for c in own], *extra, *predicates)
+        return stage.select(*[f"`{c}`" for c in own], *[f"`{name}`" for name in more or {}], *[c.alias(f"__r{i}") for i, c in enumerate(self._fires)])
 
     @cached_property
     def fired(self) -> DataFrame:
@@ -250,17 +273,24 @@ class Evaluation:
         codes = [0, *(self.registry.labels.index(r.label) for r in self.rules)]
         return F.element_at(F.from_json(F.lit(json.dumps(codes)), "array<int>"), rule + 2)
 
-    def codes(self) -> DataFrame:
-        """The kept columns with matched, decision_code, score and winning_rule (index, -1: none)."""
+    def codes(self, more: dict[str, Column] | None = None) -> DataFrame:
+        """The kept columns with matched, decision_code, score and winning_rule (index, -1: none), and ``more`` derived ones."""
         won = decide.winner(self._pairs(), self.registry, self.ruleset.default_decision)
-        staged = self.fired.select(*self._keep, self.matched.alias("matched"), decide.score(self._pairs()).alias("score"), won.alias("winning_rule"))
-        return staged.select(*self._keep, "matched", self._code(F.col("winning_rule")).alias("decision_code"), "score", "winning_rule")
-
-    def decisions(self) -> DataFrame:
-        """The kept columns with matched, decision, score, risk_band and winning_rule_id ("" without a winner)."""
+        fired = self._fired(more) if more else self.fired
+        names = [f"`{name}`" for name in more or {}]
+        staged = fired.select(*self._keep, self.matched.alias("matched"), decide.score(self._pairs()).alias("score"), won.alias("winning_rule"), *names)
+        return staged.select(*self._keep, "matched", self._code(F.col("winning_rule")).alias("decision_code"), "score", "winning_rule", *names)
+
+    def model_scores(self) -> dict[str, Column]:
+        """model.<name> for each model of the rules, over the columns of ``fired``."""
+        derived = self._derived[1]
+        return {f"model.{leaf.model}": derived[key_of(leaf)] for leaf in self._leaves if isinstance(leaf, ModelLeaf)}
+
+    def decisions(self, more: dict[str, Column] | None = None) -> DataFrame:
+        """The kept columns with matched, decision, score, risk_band and winning_rule_id ("" without a winner), and ``more`` derived ones."""
         labels = F.array(*[F.lit(x) for x in self.registry.labels])
         ids = F.from_json(F.lit(json.dumps(["", *(r.id for r in self.rules)])), "array<string>")
-        named = self.codes().withColumn("decision", F.element_at(labels, F.col("decision_code") + 1))
+        named = self.codes(more).withColumn("decision", F.element_at(labels, F.col("decision_code") + 1))
         return named.select(
             *self._keep,
             "matched",
@@ -268,12 +298,21 @@ class Evaluation:
             "score",
             decide.risk_band(F.col("decision"), F.col("score")).alias("risk_band"),
             F.element_at(ids, F.col("winning_rule") + 2).alias("winning_rule_id"),
+            *[f"`{name}`" for name in more or {}],
         )
 
     def bitmasks(self) -> DataFrame:
         """The kept columns with a boolean rule_<id> for each rule."""
         return self.fired.select(*self._keep, *[F.col(f"__r{i}").alias(f"rule_{r.id}") for i, r in enumerate(self.rules)])
 
+    def packed_bitmasks(self, bits: int = 63) -> DataFrame:
+        """The kept columns with mask_0, mask_1, ...: ``bits`` rules each, the first rule in the lowest bit."""
+        masks = []
+        for at in range(0, len(self.rules), bits):
+            parts = [F.when(F.col(f"__r{i}"), F.lit(1 << (i - at)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(at, min(at + bits, len(self.rules)))]
+            masks.append(reduce(lambda a, b: a.bitwiseOR(b), parts).alias(f"mask_{at // bits}"))
+        return self.fired.select(*self._keep, *masks)
+
     def explanations(self) -> DataFrame:
         """decisions() with the ids and the reason codes of all rules that fired."""
         ids = F.array_compact(F.array(*[F.when(c, F.lit(r.id)) for r, c in self._pairs()]))

@@ -5,20 +5,24 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def comparable(df: DataFrame, *skip: str) -> list[Column]:
+    """The columns that can break a tie: those without maps or variants."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if c not in skip and not any(x in kind for x in ("map<", "variant", "void"))]
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows that agree in all keys the first in ``order``; rows with a null key are never duplicates.
 
     Rows are combined before the shuffle, so a key that many rows share costs its task one row a partition.
     """
     known = reduce(and_, (F.col(k).isNotNull() for k in keys))
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    kept = df.where(known).groupBy(*keys).agg(F.min(row).alias("__row")).select(*keys, "__row.*")
-    return kept.select(*df.columns).unionByName(df.where(~known))
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    kept = df.where(known).groupBy(*keys).agg(F.min_by(row, F.struct(*order, *comparable(df, *keys, *order))).alias("__row")).select("__row.*")
+    return kept.select(*[f"`{c}`" for c in df.columns]).unionByName(df.where(~known))
 
 
 def within_ttl(stream: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:

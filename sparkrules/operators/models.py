@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..paths import read_bytes
+
 _SESSIONS: dict[int, object] = {}
 
 
@@ -36,9 +38,9 @@ class OnnxModel:
     output_index: int = 0
 
     @classmethod
-    def load(cls, path: str, output_index: int = 0) -> OnnxModel:
-        with open(path, "rb") as f:
-            return cls(f.read(), output_index)
+    def load(cls, path: str, output_index: int = 0, spark: SparkSession | None = None) -> OnnxModel:
+        """A local file, or, given a session, any path that Spark reads."""
+        return cls(read_bytes(path, spark), output_index)
 
     def column(self, features: list[Column]) -> Column:
         import pandas as pd

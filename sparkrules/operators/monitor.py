@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedupe import comparable
+
 #: The bucket of a timeline by the span that it shows (milliseconds).
 SPANS = ((3_600_000, 1_000), (3 * 86_400_000, 60_000))
 LONG_BUCKET = 3_600_000
@@ -68,12 +70,18 @@ def timeline(log: DataFrame, ts_ms: str = "ts_ms", bucket: int = 60_000, *keys:
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    row = F.struct(order, *[c for c in df.columns if c not in keys and c != order])
-    return df.groupBy(*keys).agg(F.max(row).alias("__row")).select(*keys, "__row.*")
+    """The newest row of each key, whatever types its columns have."""
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(order, *comparable(df, *keys, order))).alias("__row")).select("__row.*")
 
 
-def medians(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.median(v).alias(f"median_{v}") for v in values])
+def medians(df: DataFrame, keys: list[str], *values: str, accuracy: int = 0) -> DataFrame:
+    """median_<value> by key. Exact, a key's distinct values meet in one task; with ``accuracy`` the rank is off by 1 / accuracy at most,
+    and sketches of a bounded size are merged instead."""
+    found = {v: F.percentile_approx(v, 0.5, accuracy) if accuracy else F.median(v) for v in values}
+    return df.groupBy(*keys).agg(*[c.alias(f"median_{v}") for v, c in found.items()])
 
 
+def rejects_by(log: DataFrame) -> DataFrame:
+    """(source, code, n) of dead letters, as ingest.dead_letters() gives them."""
+    return log.groupBy("source", "code").agg(F.count("*").alias("n"))

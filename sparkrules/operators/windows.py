@@ -41,8 +41,49 @@ def finish(function: str, n: Column, total: Column, other: Column, low: Column,
     return F.coalesce(out, zero).cast("float")
 
 
+def _combined(c: dict[str, str]) -> dict[str, Column]:
+    """How partial sums are combined: aggregate functions by column name."""
+    how = {"n": F.sum, "s": F.sum, "d": F.sum, "lo": F.min, "hi": F.max}
+    return {name: how[kind](name) for name, kind in c.items()}
+
+
+def _sliding(buckets: DataFrame, kinds: dict[str, str], seconds: int) -> DataFrame:
+    """(__entity, __sec) and the columns of ``kinds`` over the seconds [sec - seconds + 1, sec - 1], for every bucket.
+
+    Time is cut into blocks of ``seconds``. Such a span is the end of one block and the beginning of the next, so it is a
+    running result from the right and one from the left: two passes, whatever ``seconds`` is, no subtraction, and a
+    dense entity is spread over its blocks.
+    """
+    block = F.floor(F.col("__sec") / seconds).cast("bigint")
+    own = W.partitionBy("__entity", "__block").orderBy("__sec")
+    left = own.rowsBetween(W.unboundedPreceding, -1)
+    right = W.partitionBy("__entity", "__block").orderBy(F.desc("__sec")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    aggs = _combined(kinds)
+    both = buckets.withColumn("__block", block).select(
+        "__entity",
+        "__sec",
+        "__block",
+        F.struct(*[c.over(left).alias(k) for k, c in aggs.items()]).alias("__left"),
+        F.struct(*[c.over(right).alias(k) for k, c in aggs.items()]).alias("__right"),
+    )
+    ask = both.select("__entity", "__block", "__sec", F.lit(0).alias("__tells"), "__left", F.lit(None).cast(both.schema["__right"].dataType).alias("__right"))
+    # what begins at second s of a block is inside the spans of the next block's seconds up to s + seconds - 1
+    tell = both.select("__entity", F.col("__block") + 1, F.col("__sec") + (seconds - 1), F.lit(1), F.lit(None).cast(both.schema["__left"].dataType), "__right")
+    back = W.partitionBy("__entity", "__block").orderBy(F.desc("__sec"), F.desc("__tells")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = ask.union(tell).withColumn("__right", F.last("__right", ignorenulls=True).over(back)).where("__tells = 0")
+    out = []
+    for name, kind in kinds.items():
+        a, b = F.col(f"__left.{name}"), F.col(f"__right.{name}")
+        join = {"lo": F.least(a, b), "hi": F.greatest(a, b)}
+        out.append(join.get(kind, F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)).alias(name))
+    return met.select("__entity", "__sec", *out)
+
+
 def add_windows(df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], clock: Column, names: dict[tuple, str], null_value: float = NULL_VALUE) -> DataFrame:
-    """df with a column for each channel; clock: epoch seconds of the row's micro-batch. Channels of an entity share one pass."""
+    """df with a column for each channel; clock: epoch seconds of the row's micro-batch.
+
+    Channels of one entity and one duration share a pass over the entity's buckets; each entity is joined to the rows once.
+    """
     df = df.withColumn("__sec", clock)
     for n, entity in enumerate(sorted({w.entity for w in leaves.values()})):
         own = {k: w for k, w in leaves.items() if w.entity == entity}
@@ -54,15 +95,23 @@ def add_windows(df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf],
             sums |= {f"__s{i}": F.sum(v), f"__d{i}": F.sum(d), f"__lo{i}": F.min(v), f"__hi{i}": F.max(v)}
         keyed = df.withColumn("__entity", key)
         buckets = keyed.where("__entity is not null and __sec is not null").groupBy("__entity", "__sec").agg(*[c.alias(k) for k, c in sums.items()])
-        values = {}
-        for k, w in own.items():
-            i = operands.index((w.value, w.denominator))
-            over = W.partitionBy("__entity").orderBy("__sec").rangeBetween(-(w.seconds - 1), -1)
-            values[names[k]] = finish(w.function, F.sum("__n").over(over), F.sum(f"__s{i}").over(over), F.sum(f"__d{i}").over(over), F.min(f"__lo{i}").over(over), F.max(f"__hi{i}").over(over))
-        seen = buckets.select(F.col("__entity").alias(f"__e{n}"), F.col("__sec").alias(f"__t{n}"), *[c.alias(k) for k, c in values.items()])
+        seen = None
+        for seconds in sorted({w.seconds for w in own.values()}):
+            of_span = {k: w for k, w in own.items() if w.seconds == seconds}
+            needed = {"__n": "n"}
+            for w in of_span.values():
+                i = operands.index((w.value, w.denominator))
+                used = {"count": (), "sum": ("s",), "avg": ("s",), "ratio": ("s", "d"), "min": ("lo",)}.get(w.function, ("hi",))
+                needed |= {f"__{kind}{i}": kind for kind in used}
+            found = _sliding(buckets.select("__entity", "__sec", *needed), needed, seconds)
+            values = []
+            for k, w in of_span.items():
+                i = operands.index((w.value, w.denominator))
+                part = lambda kind, i=i, needed=needed: F.col(f"__{kind}{i}") if f"__{kind}{i}" in needed else F.lit(None)
+                values.append(finish(w.function, F.col("__n"), part("s"), part("d"), part("lo"), part("hi")).alias(names[k]))
+            found = found.select(F.col("__entity").alias(f"__e{n}"), F.col("__sec").alias(f"__t{n}"), *values)
+            seen = found if seen is None else seen.join(found, [f"__e{n}", f"__t{n}"])
         df = keyed.join(seen, (F.col("__entity") == F.col(f"__e{n}")) & (F.col("__sec") == F.col(f"__t{n}")), "left").drop("__entity", f"__e{n}", f"__t{n}")
         zero = {names[k]: F.coalesce(F.col(names[k]), F.lit(0).cast("int" if w.function == "count" else "float")) for k, w in own.items()}
         df = df.withColumns(zero)
     return df.drop("__sec")
-
-

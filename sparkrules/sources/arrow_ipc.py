@@ -37,12 +37,18 @@ def read_ipc(spark: SparkSession, path: str, schema: T.StructType | str | None =
         schema = from_arrow_schema(arrow)
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    return decode_ipc(files, schema, "content", validate)
+
+
+def decode_ipc(df: DataFrame, schema: T.StructType | str, value: str = "value", validate: bool = True) -> DataFrame:
+    """Rows of messages, each one Arrow stream or file; null messages have none."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                for own in batches_of(content.as_py()):
+                for own in batches_of(content.as_py()) if content.is_valid else ():
                     if validate:
                         own.validate(full=True)
                     columns = []
@@ -52,4 +58,17 @@ def read_ipc(spark: SparkSession, path: str, schema: T.StructType | str | None =
                         columns.append(c.cast(f.type))
                     yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return files.mapInArrow(read, schema)
+    return df.select(value).mapInArrow(read, schema)
+
+
+def encode_ipc(df: DataFrame) -> DataFrame:
+    """(value): df's rows as Arrow streams, one a batch."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["value"])
+
+    return df.mapInArrow(write, "value binary")

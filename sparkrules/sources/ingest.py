@@ -15,6 +15,8 @@ from ..plans.spec import ArrayAny, Leaf, Ruleset, WindowLeaf, fields_of, walk
 #: Strings that stand for a missing value.
 NULL_LIKE = ("", "NONE", "None", "none", "NULL", "null")
 ERROR_MODES = ("skip_and_count", "dead_letter", "hard_fail")
+#: What a value does that does not fit its field's type: become null, reject its record, or end the job.
+TYPE_MODES = ("null", "dead_letter", "hard_fail")
 
 #: What a family of operators needs of its field, strongest first where a field is used by several.
 NEEDS = {
@@ -106,28 +108,48 @@ def null_like(c: Column) -> Column:
     return F.when(~c.isin(list(NULL_LIKE)), c)
 
 
-def parse_json(lines: DataFrame, ruleset: Ruleset, value: str = "value", keep: tuple[str, ...] = (), mode: str = "skip_and_count") -> Parsed:
+def _misfits(schema: T.StructType) -> Column:
+    """Whether some single-valued field has a text in __text and nothing in __json."""
+    out = F.lit(False)
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StructType | T.ArrayType | T.StringType):
+            raw = F.col(f"__text.`{f.name}`")
+            out = out | (F.col(f"__json.`{f.name}`").isNull() & null_like(raw).isNotNull())
+    return out
+
+
+def parse_json(lines: DataFrame, ruleset: Ruleset, value: str = "value", keep: tuple[str, ...] = (), mode: str = "skip_and_count", type_errors: str = "null") -> Parsed:
     """One JSON object a line, in a single pass, reading the fields that the rules name and no others.
 
-    A line that is no JSON object is rejected; blank lines are not records. A field that does not fit its type is null. In
-    mode hard_fail the first rejected line ends the job.
+    A line that is no JSON object is rejected; blank lines are not records. In mode hard_fail the first rejected line ends the
+    job. A top-level value that does not fit its field's type is null; with ``type_errors`` dead_letter its record is
+    rejected as TYPE_MISMATCH, with hard_fail it ends the job.
     """
-    if mode not in ERROR_MODES:
-        raise IngestError("INVALID_ENGINE_CONFIG", f"unknown error mode: {mode!r}")
+    if mode not in ERROR_MODES or type_errors not in TYPE_MODES:
+        raise IngestError("INVALID_ENGINE_CONFIG", f"unknown error mode: {mode!r}, {type_errors!r}")
     schema = schema_for(ruleset)
     text = F.trim(F.col(value))
     full = lines.where(F.length(text) > 0)
     good = text.startswith("{") & F.try_parse_json(F.col(value)).isNotNull()
     if mode == "hard_fail":
         good = good | F.raise_error(F.concat(F.lit("MALFORMED_JSON: "), F.substring(F.col(value), 1, 80))).cast("boolean")
-    parsed = full.where(good).select(*keep, F.from_json(value, schema, {"mode": "PERMISSIVE"}).alias("__json"))
+    keys = [f"`{k}`" for k in dict.fromkeys((*keep, value))]
+    parsed = full.where(good).select(*keys, F.from_json(value, schema, {"mode": "PERMISSIVE"}).alias("__json"))
+    bad = full.where(~good) if mode != "hard_fail" else full.limit(0)
+    rejected = bad.select(*keys, F.lit("MALFORMED_JSON").alias("code"), F.lit("the line is not a JSON object; no field was read").alias("message"))
+    if type_errors != "null":
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        parsed = parsed.withColumn("__text", F.from_json(value, texts)).withColumn("__wrong", _misfits(schema))
+        if type_errors == "hard_fail":
+            parsed = parsed.where(~F.col("__wrong") | F.raise_error(F.concat(F.lit("TYPE_MISMATCH: "), F.substring(F.col(value), 1, 80))).cast("boolean"))
+        else:
+            wrong = parsed.where("__wrong").select(*keys, F.lit("TYPE_MISMATCH").alias("code"), F.lit("a value does not fit its field's type").alias("message"))
+            rejected, parsed = rejected.union(wrong), parsed.where(~F.col("__wrong"))
     columns = []
     for f in schema.fields:
         c = F.col(f"__json.`{f.name}`")
         columns.append((null_like(c) if isinstance(f.dataType, T.StringType) else c).alias(f.name))
-    bad = full.where(~good) if mode != "hard_fail" else full.limit(0)
-    rejected = bad.select(*keep, F.col(value), F.lit("MALFORMED_JSON").alias("code"), F.lit("the line is not a JSON object; no field was read").alias("message"))
-    return Parsed(parsed.select(*keep, *columns), rejected)
+    return Parsed(parsed.select(*[f"`{k}`" for k in keep], *columns), rejected)
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -139,9 +161,9 @@ def messages(spark: SparkSession, items: list[str]) -> DataFrame:
     return spark.createDataFrame([(m,) for m in items], "value string")
 
 
-def json_array(documents: DataFrame, value: str = "value") -> DataFrame:
-    """(pos, value): the elements of documents that are JSON arrays, as lines."""
-    return documents.select(F.posexplode(F.from_json(value, "array<string>")).alias("pos", "value"))
+def json_array(documents: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, pos, value): the elements of documents that are JSON arrays, as lines."""
+    return documents.select(*[f"`{k}`" for k in keep], F.posexplode(F.from_json(value, "array<string>")).alias("pos", "value"))
 
 
 def json_array_files(spark: SparkSession, path: str) -> DataFrame:
@@ -154,17 +176,24 @@ def unwrap_debezium(lines: DataFrame, value: str = "value", op_field: str = "__o
     Objects that are no envelopes pass as they are; an envelope without a state object is dropped. An envelope may stand
     inside ``payload``.
     """
-    outer = lines.withColumn("__env", F.coalesce(F.from_json(value, "payload string")["payload"], F.col(value)))
-    df = outer.withColumn("__p", F.from_json("__env", "op string, before string, after string"))
-    op = F.col("__p.op")
-    df = df.withColumn("__state", F.when(op == "d", F.col("__p.before")).otherwise(F.col("__p.after")))
-    body = F.trim(F.substr("__state", F.lit(2)))
+    # a generator stands between the steps, so that each JSON text is parsed once and not in every place that reads a field of it
+    envelope = "op string, before string, after string"
+    names = ["op", "before", "after"]
+    first = F.inline(F.array(F.from_json(value, f"payload string, {envelope}"))).alias("__payload", *[f"__{n}0" for n in names])
+    second = F.inline(F.array(F.from_json("__payload", envelope))).alias(*[f"__{n}1" for n in names])
+    df = lines.select("*", first).select("*", second)
+    inside = F.col("__payload").isNotNull()
+    op, before, after = (F.when(inside, F.col(f"__{n}1")).otherwise(F.col(f"__{n}0")) for n in names)
+    state = F.when(op == "d", before).otherwise(after)
     # the operation's JSON form is taken from an array of one, without the brackets
-    name = F.expr("substring(to_json(array(coalesce(__p.op, 'u'))), 2, length(to_json(array(coalesce(__p.op, 'u')))) - 2)")
-    named = F.concat(F.lit('{"' + op_field + '":'), name, F.when(body == "}", F.lit("")).otherwise(F.lit(",")), body)
-    envelope = op.isNotNull() | F.col("__p.before").isNotNull() | F.col("__p.after").isNotNull()
-    out = df.withColumn(value, F.when(envelope, F.when(F.col("__state").startswith("{"), named)).otherwise(F.col("__env")))
-    return out.drop("__env", "__p", "__state").where(F.col(value).isNotNull())
+    name = F.to_json(F.array(F.coalesce(op, F.lit("u"))))
+    is_envelope = op.isNotNull() | before.isNotNull() | after.isNotNull()
+    parts = F.array(F.struct(state.alias("__state"), name.alias("__name"), is_envelope.alias("__is")))
+    df = df.select(*[f"`{c}`" for c in lines.columns], "__payload", F.inline(parts))
+    body = F.trim(F.substr("__state", F.lit(2)))
+    named = F.concat(F.lit('{"' + op_field + '":'), F.expr("substring(__name, 2, length(__name) - 2)"), F.when(body == "}", F.lit("")).otherwise(F.lit(",")), body)
+    out = F.when(F.col("__is"), F.when(F.col("__state").startswith("{"), named)).otherwise(F.coalesce("__payload", value))
+    return df.withColumn(value, out).drop("__payload", "__state", "__name", "__is").where(F.col(value).isNotNull())
 
 
 def canonical_text(lines: DataFrame, source: str, service: str = "", instance: str = "", value: str = "value", now_ms: Column | None = None) -> DataFrame:

@@ -29,12 +29,16 @@ class KafkaConfig:
         return {"kafka.bootstrap.servers": self.servers, "topic": topic} | {f"kafka.{k}": v for k, v in self.extra.items()}
 
 
-def read_kafka(spark: SparkSession, config: KafkaConfig) -> DataFrame:
-    """(topic, partition, offset, timestamp, key, value); records with an empty value are skipped."""
-    stream = spark.readStream.format("kafka").options(**config.read_options()).load()
+def read_kafka(spark: SparkSession, config: KafkaConfig, format: str = "kafka") -> DataFrame:
+    """(topic, partition, offset, timestamp, key, value); records with an empty value are skipped.
+
+    ``format`` may name another source with the columns of Kafka's.
+    """
+    stream = spark.readStream.format(format).options(**config.read_options()).load()
     return stream.where(F.octet_length("value") > 0).select("topic", "partition", "offset", "timestamp", "key", F.col("value").cast("string").alias("value"))
 
 
-def write_kafka(df: DataFrame, config: KafkaConfig, topic: str, key: str | None = None) -> None:
+def write_kafka(df: DataFrame, config: KafkaConfig, topic: str, key: str | None = None, format: str = "kafka") -> None:
+    """Each row as a JSON object; appended, as a topic is."""
     rows = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct("*")).alias("value"))
-    rows.write.format("kafka").options(**config.write_options(topic)).save()
+    rows.write.format(format).mode("append").options(**config.write_options(topic)).save()
