@@ -292,7 +292,9 @@ SQL = {
         FROM (SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS top FROM {SECONDS} WINDOW w AS {_span("user_id", 3 * DAY)}) AS t""",
     "window_spans": f"""SELECT event_id, count(*) OVER a > 0 AS rule_user_hour, count(*) OVER b > 9 AS rule_user_week, count(*) OVER c > 1 AS rule_type_hour, coalesce(min(value) OVER c, 0) < 10.5 AS rule_type_low
         FROM {SECONDS} WINDOW a AS {_span("user_id", HOUR)}, b AS {_span("user_id", 7 * DAY)}, c AS {_span("event_type", HOUR)}""",
-    "decision_default": """SELECT l_orderkey, l_linenumber, l_tax > 0.06 OR l_extendedprice < 9000 AS matched, 'REVIEW' AS decision, '' AS winning_rule_id FROM lineitem""",
+    # APPROVE stands first in the precedence and is not the default here, so it outranks all that is listed; FLAG ranks below REVIEW
+    "decision_default": """SELECT l_orderkey, l_linenumber, l_tax > 0.06 OR l_extendedprice < 9000 AS matched, CASE WHEN l_extendedprice < 9000 THEN 'APPROVE' ELSE 'REVIEW' END AS decision,
+        CASE WHEN l_extendedprice < 9000 THEN 'cheap' ELSE '' END AS winning_rule_id FROM lineitem""",
     "decision_precedence": """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.08 THEN 'FLAG' WHEN l_tax > 0.05 THEN 'REVIEW' WHEN l_quantity > 30 THEN 'BLOCK' ELSE 'APPROVE' END AS decision,
         CASE WHEN l_discount > 0.08 THEN 'cut' WHEN l_tax > 0.05 THEN 'taxed' WHEN l_quantity > 30 THEN 'heavy' ELSE '' END AS winning_rule_id FROM lineitem""",
     "score_default_weight": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber >= 5 THEN 100.5 WHEN l_linenumber = 4 THEN 100 WHEN l_linenumber = 3 THEN 60 WHEN l_linenumber = 2 THEN 30 ELSE 10 END AS DOUBLE) AS score FROM lineitem",
@@ -322,3 +324,11 @@ SQL = {
     "protobuf_frames": SHIPPED_SQL,
     "monitor_medians_approx": "SELECT event_type, quantile_disc(event_id, 0.5) AS median_event_id FROM events GROUP BY event_type",
 }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
