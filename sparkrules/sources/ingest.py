@@ -121,7 +121,8 @@ def _misfits(schema: T.StructType) -> Column:
 def parse_json(lines: DataFrame, ruleset: Ruleset, value: str = "value", keep: tuple[str, ...] = (), mode: str = "skip_and_count", type_errors: str = "null") -> Parsed:
     """One JSON object a line, in a single pass, reading the fields that the rules name and no others.
 
-    A line that is no JSON object is rejected; blank lines are not records. In mode hard_fail the first rejected line ends the
+    A line that does not begin with a whole JSON object is rejected; what follows the object in its line is not read, and blank lines
+    are not records. In mode hard_fail the first rejected line ends the
     job. A top-level value that does not fit its field's type is null; with ``type_errors`` dead_letter its record is
     rejected as TYPE_MISMATCH, with hard_fail it ends the job.
     """

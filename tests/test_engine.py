@@ -13,8 +13,12 @@ from sparkrules.plans.parser import parse_ruleset
 from sparkrules.plans.spec import OPERATORS, All, Any, Not, walk
 from sparkrules.streaming.state import WindowState
 
-HIGH = {"id": "high_amount", "action": "flag", "severity": "HIGH", "conditions": {"field": "amount", "op": "gt", "value": 100}}
-BLOCKED = {"id": "blocked_country", "action": "block", "severity": "CRITICAL", "conditions": {"field": "country", "op": "eq", "value": "XX"}}
+PARCELS = [
+    {"id": "oversize", "action": "review", "severity": "MEDIUM", "conditions": {"field": "girth_cm", "op": "gte", "value": 260}},
+    {"id": "battery", "action": "flag", "weight": 12.5, "conditions": {"field": "contents", "op": "contains", "value": "battery"}},
+    {"id": "unpaid", "action": "block", "severity": "HIGH", "conditions": {"field": "postage", "op": "lt_field", "other_field": "due"}},
+]
+PARCEL_KIND = "id int, girth_cm double, contents string, postage double, due double"
 
 
 def engine(*rules, **more) -> RuleEngine:
@@ -34,55 +38,107 @@ def masks(spark, df, conditions: dict, **kwargs) -> dict:
     return {k: [r[f"rule_{k}"] for r in out] for k in conditions}
 
 
-def test_parity_set(spark):
-    df = spark.createDataFrame([(0, 50.0, "US"), (1, 150.0, "US"), (2, 200.0, "XX"), (3, 10.0, "XX")], "id int, amount float, country string")
-    e = engine(HIGH, BLOCKED).evaluate(df)
-    assert rows(e.decisions(), "matched", "decision", "winning_rule_id", "score", "risk_band") == [
-        (False, "APPROVE", "", 0.0, "LOW"),
-        (True, "FLAG", "high_amount", 30.0, "LOW"),
-        (True, "BLOCK", "blocked_country", 70.0, "HIGH"),
-        (True, "BLOCK", "blocked_country", 40.0, "HIGH"),
-    ]
-    assert e.counts().first().asDict() == {"n_records": 4, "n_matched": 3}
-    assert {r.rule_id: r.matches for r in e.rule_counts().collect()} == {"high_amount": 2, "blocked_country": 2}
-    assert {r.decision: r.rows for r in e.grouped("id").collect()} == {"APPROVE": [0], "FLAG": [1], "BLOCK": [2, 3]}
-    assert e.filter_decision("approve", negate=True).count() == 3 and e.filter_rule("high_amount").count() == 2
-    assert [r[0] for r in e.matched_only().select("id").orderBy("id").collect()] == [1, 2, 3]
+def fold(rules: list[dict], decisions: dict, fired: list[bool]) -> tuple:
+    """(matched, decision, winning rule, score, band) of one row, in plain Python by the rules of the survey."""
+    severities = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
+    default = decisions.get("default", "approve").upper()
+    order = [x.upper() for x in decisions.get("precedence") or ["approve", "score", "flag", "review", "block"]]
+    order = order if default in order else [default, *order]
+    total, best, won = 0.0, ((order.index(default)), -1, -(2**31)), None
+    for rule, hit in zip(rules, fired, strict=True):
+        if not hit or rule.get("shadow"):
+            continue
+        action, severity = rule.get("action", "flag"), severities.index(rule.get("severity", "LOW"))
+        own = rule.get("weight", 0)
+        total += own if own or action == "approve" else 10 * (severity + 1)
+        if rule.get("score_cap"):
+            total = min(total, rule["score_cap"])
+        label = rule.get("label", action).upper()
+        rank = order.index(label) if label in order else 0
+        if not rank and label != default:
+            rank = len(order)
+        rank = rank or ["approve", "score", "flag", "review", "block"].index(action)
+        if (rank, severity, rule.get("priority", 0)) > best:
+            best, won = (rank, severity, rule.get("priority", 0)), rule
+    decision = won.get("label", won.get("action", "flag")).upper() if won else default
+    band = "HIGH" if decision == "BLOCK" or total >= 80 else "MEDIUM" if decision == "REVIEW" or total >= 40 else "LOW"
+    return any(fired), decision, won["id"] if won else "", total, band
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_decisions(spark, seed):
+    rng = random.Random(seed)
+    labels = ["approve", "score", "flag", "review", "block", "hold", "call"]
+    own = []
+    for i in range(9):
+        rule = {"id": f"d{i}", "action": rng.choice(labels[:5]), "severity": rng.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL"]), "priority": rng.randint(-1, 1)}
+        rule |= {"weight": rng.choice([0, 2.5, 31])} | ({"label": rng.choice(labels[5:])} if rng.random() < 0.3 else {})
+        rule |= {"shadow": rng.random() < 0.2, "score_cap": rng.choice([0, 0, 45])}
+        own.append(rule | {"conditions": {"field": f"b{i}", "op": "eq", "value": 1}})
+    decisions = {"default": rng.choice(["approve", "flag", "hold"]), "precedence": rng.sample(labels, rng.randint(2, 6))}
+    data = [[int(rng.random() < 0.3) for _ in own] for _ in range(40)]
+    df = spark.createDataFrame([(n, *d) for n, d in enumerate(data)], "id int, " + ", ".join(f"b{i} int" for i in range(9)))
+    found = engine(*own, decisions=decisions).evaluate(df)
+    want = [fold(own, decisions, [bool(x) for x in d]) for d in data]
+    assert rows(found.decisions(), "matched", "decision", "winning_rule_id", "score", "risk_band") == want
+    assert {r.rule_id: r.matches for r in found.rule_counts().collect()} == {r["id"]: sum(d[i] for d in data) for i, r in enumerate(own)}
+    assert {r.decision: r.rows for r in found.grouped("id").collect()} == {k: [n for n, w in enumerate(want) if w[1] == k] for k in {w[1] for w in want}}
+    some = want[0][1]
+    assert found.filter_decision(some, negate=True).count() == sum(w[1] != some for w in want)
+    assert [r.id for r in found.matched_only().select("id").orderBy("id").collect()] == [n for n, w in enumerate(want) if w[0]]
+    assert tuple(found.counts().first()) == (40, sum(w[0] for w in want))
+
+
+def test_parcels(spark):
+    df = spark.createDataFrame([(0, 300.0, "lamp, battery", 4.0, 4.0), (1, 20.0, None, None, 2.0), (2, 260.0, "sofa", 1.0, 9.5), (3, 80.0, "battery", 3.0, 2.0)], PARCEL_KIND)
+    found = engine(*PARCELS).evaluate(df)
+    assert rows(found.decisions(), "decision", "score", "risk_band") == [("REVIEW", 32.5, "MEDIUM"), ("APPROVE", 0.0, "LOW"), ("BLOCK", 50.0, "HIGH"), ("FLAG", 12.5, "LOW")]
+    assert found.filter_rule("battery").count() == 2
+
+
+def test_lines_arrays_and_rows_are_decided_alike(spark):
+    from sparkrules.sources.ingest import json_array, messages
 
+    rng = random.Random(11)
+    parcels = [{"girth_cm": rng.choice([90, 260, 410]), "contents": rng.choice(["battery", "books"]), "postage": rng.randint(0, 3), "due": 2} for _ in range(50)]
+    df = spark.createDataFrame([(i, float(p["girth_cm"]), p["contents"], float(p["postage"]), 2.0) for i, p in enumerate(parcels)], PARCEL_KIND)
+    want = sorted(map(tuple, engine(*PARCELS).evaluate(df).decision_counts().collect()))
+    for lines in (messages(spark, [json.dumps(p) for p in parcels]), json_array(messages(spark, [json.dumps(parcels[:20]), json.dumps(parcels[20:])]))):
+        assert sorted(map(tuple, engine(*PARCELS).evaluate_ndjson(lines).decision_counts().collect())) == want
 
-def test_same_groups_from_json_lines_arrays_and_rows(spark):
-    from sparkrules.sources.ingest import json_array, messages
 
-    objects = [{"amount": a, "country": c} for a, c in ((50, "US"), (150, "US"), (200, "XX"), (10, "XX"))]
-    want = {"APPROVE": 1, "FLAG": 1, "BLOCK": 2}
-    for lines in (messages(spark, [json.dumps(o) for o in objects]), json_array(messages(spark, [json.dumps(objects)]))):
-        got = engine(HIGH, BLOCKED).evaluate_ndjson(lines).decision_counts().collect()
-        assert {r.decision: r.n for r in got} == want
-
-
-@pytest.mark.parametrize(
-    "lines, records, skipped, matched",
-    [
-        (['{"amount":150,"country":"US"}', "{oops", '{"amount":200,"country":"XX"}'], 2, 1, 2),
-        (["{bad", '{"amount":200,"country":"XX"}'], 1, 1, 1),
-        (['{"amount":150,"country":"US"}', "{oops", "also not json", '{"amount":50,"country":"US"}'], 2, 2, 1),
-        (['{"amount":1}', '{"amount":2}', '{"amount":200,"country":"XX"}'], 3, 0, 1),
-        (['{"country":', '{"country":"US","amount": }', '{"amount":200}'], 1, 2, 1),
-        (["", "[1, 2]", "7", '{"amount":"x"}'], 1, 2, 0),
-    ],
-)
-def test_malformed_lines(spark, lines, records, skipped, matched):
+@pytest.mark.parametrize("seed", range(4))
+def test_torn_lines(spark, seed):
+    """Objects are torn at a random place, or are no objects; json.loads tells which lines are records."""
     from sparkrules.sources.ingest import messages
 
-    e = engine(HIGH).evaluate_ndjson(messages(spark, lines))
-    assert (*e.counts().first(), e.rejected.count()) == (records, matched, skipped)
+    rng = random.Random(seed)
+    lines = []
+    for _ in range(60):
+        line = json.dumps({"girth_cm": rng.choice([10, 999.5, "wide", None]), "contents": rng.choice(['quote " and \\\\', "battery \u2603"])})
+        lines.append(rng.choice([line, line, line[: rng.randrange(len(line))], json.dumps([line]), "null", "12.5"]))
+
+    def parsed(line):
+        try:
+            return json.loads(line)
+        except ValueError:
+            return None
+
+    good = [o for o in map(parsed, lines) if isinstance(o, dict)]
+    bad = [x for x in lines if x.strip() and not isinstance(parsed(x), dict)]
+    found = engine(*PARCELS[:2]).evaluate_ndjson(messages(spark, lines))
+    hits = [(o["girth_cm"] == 999.5) + ("battery" in o["contents"]) for o in good]
+    assert tuple(found.counts().first()) == (len(good), sum(h > 0 for h in hits))
+    assert sorted(r.value for r in found.rejected.collect()) == sorted(bad)
 
 
 def test_hard_fail(spark):
     from sparkrules.sources.ingest import messages, parse_json
 
+    ruleset = parse_ruleset({"rules": PARCELS})
+    assert parse_json(messages(spark, ['{"postage": 2}']), ruleset, mode="hard_fail").good.count() == 1
     with pytest.raises(Exception, match="MALFORMED_JSON"):
-        parse_json(messages(spark, ["{bad"]), parse_ruleset({"rules": [HIGH]}), mode="hard_fail").good.collect()
+        parse_json(messages(spark, ['{"postage": 2}', "postage=2"]), ruleset, mode="hard_fail").good.collect()
 
 
 def test_null_like_and_defaults(spark):
@@ -94,18 +150,6 @@ def test_null_like_and_defaults(spark):
     assert sorted((r.rule_r, r.rule_z) for r in got.bitmasks().collect()) == [(False, False), (True, True), (True, True)]
 
 
-def test_custom_label_and_precedence(spark):
-    df = spark.createDataFrame([(0, 50.0), (1, 150.0)], "id int, amount float")
-    bot = {"id": "bot", "action": "block", "label": "bot_block", "conditions": {"field": "amount", "op": "gt", "value": 100}}
-    decisions = {"precedence": ["approve", "score", "flag", "review", "bot_block", "block"]}
-    assert rows(engine(bot, decisions=decisions).evaluate(df).decisions(), "decision", "winning_rule_id") == [("APPROVE", ""), ("BOT_BLOCK", "bot")]
-    bot = {k: v for k, v in bot.items() if k != "label"}
-    assert rows(engine(bot).evaluate(df).decisions(), "decision") == [("APPROVE",), ("BLOCK",)]
-    # a label that precedence does not know outranks all that it knows
-    extra = {**bot, "id": "odd", "action": "flag", "label": "odd"}
-    assert rows(engine(bot, extra).evaluate(df).decisions(), "decision")[1] == ("ODD",)
-
-
 def test_score_cap_shadow_and_no_rules(spark):
     df = spark.createDataFrame([(0, 5.0)], "id int, x double")
     yes = {"field": "x", "op": "gt", "value": 1}
@@ -208,23 +252,30 @@ def test_schema_errors(spark):
 
 
 def test_lookup_files(tmp_path, spark):
-    (tmp_path / "sub").mkdir()
-    (tmp_path / "sub/risky.csv").write_text('note,value\nx,M1\ny,"M2"\n')
-    rule = {"id": "r", "action": "block", "conditions": {"field": "merchant", "op": "in_lookup", "lookup": "risky"}}
-    path = tmp_path / "rules.yaml"
-    path.write_text(json.dumps({"lookups": {"risky": {"type": "string_set", "path": "sub/risky.csv"}}, "rules": [rule]}))
+    """Paths are relative to the rules; a reload that fails keeps the rules as they were, one that succeeds replaces them."""
+    import os
+
+    (tmp_path / "lists").mkdir()
+    berths = tmp_path / "lists/berths.csv"
+    berths.write_text("value\n7\n12\n")
+    path = tmp_path / "harbour.yaml"
+    rule = {"id": "closed", "action": "review", "conditions": {"not": {"field": "berth", "op": "in_lookup", "lookup": "open"}}}
+    text = json.dumps({"lookups": {"open": {"type": "int_set", "path": "lists/berths.csv"}}, "rules": [rule]})
+    path.write_text(text)
     e = RuleEngine().load_rules(str(path))
-    df = spark.createDataFrame([(0, "M1"), (1, "M9")], "id int, merchant string")
-    assert rows(e.evaluate(df).decisions(), "decision") == [("BLOCK",), ("APPROVE",)]
-    (tmp_path / "sub/risky.csv").unlink()
+    ships = spark.createDataFrame([(n, n) for n in (7, 8, 12, 13)], "id int, berth int")
+    matched = lambda: [r.id for r in e.evaluate(ships).matched_only().select("id").orderBy("id").collect()]
+    assert matched() == [8, 13] and not e.reload_if_changed()
+    berths.rename(tmp_path / "lists/gone.csv")
     with pytest.raises(LookupLoadError):
         RuleEngine().load_rules(str(path))
-    # a failed reload leaves the old rules in place
-    path.write_text(path.read_text() + " ")
-    import os
-
-    os.utime(path, (1, 1))
-    assert not e.reload_if_changed() and e.last_error and e.evaluate(df).counts().first().n_matched == 1
+    path.write_text(text + "\n")
+    os.utime(path, (5, 5))
+    assert not e.reload_if_changed() and e.last_error and matched() == [8, 13]
+    (tmp_path / "lists/gone.csv").rename(berths)
+    berths.write_text("value\n8\n")
+    os.utime(path, (9, 9))
+    assert e.reload_if_changed() and matched() == [7, 12, 13]
 
 
 def test_ranges():
@@ -232,34 +283,63 @@ def test_ranges():
     assert merge_ranges([(5, 9), (1, 3), (4, 6), (20, 21)]) == [(1, 9), (20, 21)]
 
 
-def window(function, op, value, seconds=10, **fields):
-    return {"window": {"entity_field": "card", "function": function, "duration_seconds": seconds, "op": op, "value": value, **fields}}
+SPANS = {"count": {}, "sum": {"sum_field": "kwh"}, "avg": {"sum_field": "kwh"}, "min": {"value_field": "kwh"}, "max": {"value_field": "kwh"}}
+
+
+def meter_window(function: str, seconds: int, op: str = "gt", value: float = 0) -> dict:
+    return {"window": {"entity_field": "meter", "function": function, "duration_seconds": seconds, "op": op, "value": value, **SPANS[function]}}
+
+
+def reading(function: str, seen: list[float]) -> float:
+    """A window's value by a plain loop; without rows 0."""
+    if not seen:
+        return 0
+    return {"count": len(seen), "sum": sum(seen), "avg": sum(seen) / len(seen), "min": min(seen), "max": max(seen)}[function]
+
+
+@pytest.mark.parametrize("seconds", [1, 2, 7, 60])
+def test_windows_against_a_plain_loop(spark, seconds):
+    rng = random.Random(seconds)
+    data = [(i, rng.choice(["north", "south", "yard", None]), float(rng.randint(1, 8)), rng.choice([0, 1000]) + rng.randint(-30, 30)) for i in range(120)]
+    df = spark.createDataFrame(data, "id int, meter string, kwh double, sec bigint")
+    tests = {f"{f}_{v}": (f, v) for f in SPANS for v in (0, 3, 9)}
+    found = engine(*({"id": k, "conditions": meter_window(f, seconds, "gt", v)} for k, (f, v) in tests.items()), config={"output_columns": ("id",)}).evaluate(df, clock=F.col("sec"))
+    for r in found.bitmasks().collect():
+        _, meter, _, sec = data[r.id]
+        seen = [d[2] for d in data if meter is not None and d[1] == meter and sec - seconds < d[3] < sec]
+        for k, (f, v) in tests.items():
+            assert r[f"rule_{k}"] == (reading(f, seen) > v), (r.id, k, seen)
 
 
-def test_windows_in_batch_mode(spark):
-    data = [(0, 1, 10.0, 100), (1, 2, 7.0, 100), (2, 1, 5.0, 100), (3, 1, 2.0, 105), (4, 2, 3.0, 105), (5, 3, 4.0, 105), (6, 1, 1.0, 111), (7, 2, 1.0, 111), (8, None, 1.0, 111)]
-    df = spark.createDataFrame(data, "id int, card int, amount float, sec bigint")
-    conditions = {"none": window("count", "eq", 0), "two": window("count", "gte", 2), "sum15": window("sum", "eq", 15, sum_field="amount"), "sum2": window("sum", "eq", 2, sum_field="amount"), "max7": window("max", "eq", 7, value_field="amount"), "not": {"not": window("count", "gt", 0)}}
-    e = engine(*({"id": k, "conditions": c} for k, c in conditions.items()), config={"output_columns": ("id",)}).evaluate(df, clock=F.col("sec"))
-    out = e.bitmasks().orderBy("id").collect()
-    got = {k: [r.id for r in out if r[f"rule_{k}"]] for k in conditions}
-    assert got == {"none": [0, 1, 2, 5, 8], "two": [3], "sum15": [3], "sum2": [6], "max7": [4], "not": [0, 1, 2, 5, 8]}
+def test_a_dense_meter_over_a_day(spark):
+    """One meter with a row in each of many seconds; a row sees all before it, or the last day of them."""
+    day, n = 86_400, 120_000
+    df = spark.range(n).selectExpr("cast(id as int) AS id", "'mast' AS meter", "1.0D AS kwh", "id AS sec")
+    found = engine({"id": "full", "conditions": meter_window("count", day, "eq", day - 1)}, {"id": "sum", "conditions": meter_window("sum", day, "eq", 5000)}, config={"output_columns": ("id",)})
+    got = found.evaluate(df, clock=F.col("sec")).bitmasks().agg(F.sum(F.col("rule_full").cast("int")), F.min(F.expr("if(rule_full, id, null)")), F.max(F.expr("if(rule_sum, id, null)"))).first()
+    assert tuple(got) == (n - day + 1, day - 1, 5000)
 
 
-def test_window_state_between_batches(spark, tmp_path):
-    rules = parse_ruleset({"rules": [{"id": "c", "conditions": window("count", "gt", 0)}, {"id": "s", "conditions": window("sum", "gt", 0, sum_field="amount")}]})
-    leaves = {key_of(x): x for r in rules.rules for x in walk(r.condition)}
-    names = {k: k[2] for k in leaves}
-    state = WindowState(spark, str(tmp_path / "state"))
-    steps = [(100, [(1, 10.0), (2, 7.0), (1, 5.0)], [(0, 0.0)] * 3), (105, [(1, 2.0), (2, 3.0), (3, 4.0)], [(2, 15.0), (1, 7.0), (0, 0.0)]), (111, [(1, 1.0), (2, 1.0)], [(1, 2.0), (1, 3.0)])]
-    for n, (now, data, want) in enumerate(steps):
-        df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "id int, card int, amount float")
+def test_window_state_against_a_plain_loop(spark, tmp_path):
+    """More batches than are kept apart, some of them run twice."""
+    rng = random.Random(3)
+    ruleset = parse_ruleset({"rules": [{"id": f, "conditions": meter_window(f, s)} for f, s in (("count", 9), ("sum", 9), ("max", 4))]})
+    leaves = {key_of(x): x for r in ruleset.rules for x in walk(r.condition)}
+    names = {k: x.function for k, x in leaves.items()}
+    state, past, now = WindowState(spark, str(tmp_path / "state")), [], 50
+    for n in range(18):
+        now += rng.randint(1, 4)
+        data = [(i, rng.choice(["north", "south", None]), float(rng.randint(1, 9))) for i in range(rng.randint(1, 4))]
+        df = spark.createDataFrame(data, "id int, meter string, kwh double")
         schema = Schema(df.schema, {})
-        for _ in range(2):  # a batch that runs again sees and leaves the same
-            got = state.read(df, schema, leaves, names, n, now)
-            assert [(r["count"], r["sum"]) for r in got.orderBy("id").collect()] == want
+        for _ in range(1 + (n % 6 == 5)):  # a batch that runs again sees and leaves the same
+            for r in state.read(df, schema, leaves, names, n, now).collect():
+                for x in leaves.values():
+                    seen = [k for s, m, k in past if r.meter is not None and m == r.meter and s > now - x.seconds]
+                    assert r[x.function] == reading(x.function, seen), (n, r, x.function)
             state.write(df, schema, leaves, n, now)
-    assert state.active_entities() == 3
+        past += [(now, m, k) for _, m, k in data]
+    assert state.active_entities() in (1, 2)
     state.reset()
     assert state.active_entities() == 0
 
@@ -355,11 +435,11 @@ def test_random_trees(spark):
 
 
 def test_observed_counters(spark):
-    df = spark.createDataFrame([(0, 50.0, "US"), (1, 150.0, "XX")], "id int, amount float, country string")
-    out, seen = engine(HIGH, BLOCKED).evaluate(df).observed("test")
+    df = spark.createDataFrame([(0, 10.0, "seeds", 2.0, 2.0), (1, 262.0, "battery", 1.0, 3.0)], PARCEL_KIND)
+    out, seen = engine(*PARCELS).evaluate(df).observed("parcels")
     assert out.count() == 2
     got = seen.get
-    assert (got["records"], got["matched"], got["score_max"], got["decision_BLOCK"], got["decision_APPROVE"]) == (2, 1, 70.0, 1, 1)
+    assert (got["records"], got["matched"], got["score_max"], got["decision_BLOCK"], got["decision_APPROVE"]) == (2, 1, 62.5, 1, 1)
 
 
 def test_rules_from_a_path_that_spark_reads(spark, tmp_path):
