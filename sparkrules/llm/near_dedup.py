@@ -31,6 +31,10 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xD6E8FEB86659FD93)
 #: Shingles that at most so many texts of open buckets share lead to pairs directly.
 RARE = 16
+#: Nodes of more links than this are made the centres of their components; a text is linked to one leader a band at most.
+HUB = 128
+#: Added to a hub's number, which is at least 0, to bring it before all other numbers.
+FIRST = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -170,23 +174,45 @@ def jaccard_of(a: str, b: str) -> Column:
     return run(F.col(a), F.col(b))
 
 
+def _hubs_first(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges with nodes of over HUB links renamed to negative numbers, so that they come before all others; see _named()."""
+    ends = edges.select(F.col("a").alias("x")).union(edges.select(F.col("b").alias("x")))
+    hubs = scratch.table(ends.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("x"))
+    if hubs.isEmpty():
+        return edges
+    for end in ("a", "b"):
+        known = hubs.select(F.col("x").alias(end), F.lit(True).alias("hub"))
+        edges = edges.join(known, end, "left").withColumn(end, F.when(F.col("hub"), F.col(end) + FIRST).otherwise(F.col(end))).drop("hub")
+    return edges
+
+
+def _named(node: Column) -> Column:
+    return F.when(node < 0, node - FIRST).otherwise(node)
+
+
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, comp): the smallest id of each node's component, for nodes that are not the smallest; edges: columns a, b.
+    """(id, comp): one node of each node's component, for all nodes but that one; edges: columns a, b, not negative.
 
-    Large-star and small-star steps alternate until every component is a star around its smallest node.
+    Large-star and small-star steps alternate until every component is a star. A component's centre is its smallest node, where
+    nodes of over HUB links count as smaller than all others: then a hub's links are already as they have to be, and no
+    step gathers them by the hub. In the large star each link goes down to the smallest neighbour of its lower end, which only
+    lower ends that are no centres have; these are few, and are joined from a table, so that Spark can split a frequent end.
     """
-    e = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    pairs = scratch.table(edges.select("a", "b").where("a != b").distinct())
+    both = _hubs_first(pairs, scratch)
+    e = scratch.table(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("f")).union(e.select(F.col("b").alias("x"), F.lit(0).alias("f")))
-        if ends.groupBy("x").agg(F.sum("f").alias("up"), F.min("f").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
-            return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-        both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("lo")).select("x", F.least("x", "lo").alias("lo"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("a"), F.col("lo").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("lo"))
+        low = scratch.table(e.groupBy("a").agg(F.min("b").alias("lo"), F.count("*").alias("n")))
+        # a star has no node with two lower neighbours, and no lower end with a lower neighbour of its own
+        centres = e.select("b").distinct().join(low.select(F.col("a").alias("b")), "b", "left_semi")
+        if low.where("n > 1").isEmpty() and centres.isEmpty():
+            return e.select(_named(F.col("a")).alias("id"), _named(F.col("b")).alias("comp"))
+        down = low.select(F.col("a").alias("b"), "lo")
+        large = scratch.table(e.join(down, "b", "left").select("a", F.coalesce("lo", "b").alias("b")).distinct())
+        low = scratch.table(large.groupBy("a").agg(F.min("b").alias("lo")))
         small = large.join(low, "a").where("b != lo").select(F.col("b").alias("a"), F.col("lo").alias("b")).union(low.select("a", F.col("lo").alias("b")))
         before, e = e, scratch.table(small.distinct())
-        scratch.drop(before)
+        scratch.drop(before, large)
 
 
 def _prefix(sha: Column, bits: int) -> Column:
@@ -266,7 +292,7 @@ def _possible(still: DataFrame, comps: DataFrame, bounds: DataFrame) -> DataFram
 
 
 def _rows(df: DataFrame, scratch: Scratch, s: Settings, text: str, id_col: str) -> DataFrame:
-    """row, id, sha and class: the row number of the class's smallest row, for every row of df."""
+    """row, id, sha and class: the row number of one row of the class, for every row of df."""
     small_batches(df.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
     sha = F.unhex(F.sha2(value, 256))

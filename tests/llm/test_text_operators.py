@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -331,3 +332,80 @@ def test_numbering_has_no_gaps(spark):
     for r in got:
         by[r.g].append(r.nth)
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by[None]) == 300
+
+
+def plain_shingles(text: str | None) -> set:
+    w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def plain_classes(rows: list[tuple], similarity: float = 0.8) -> set:
+    """Components of all pairs of equal texts and of texts whose sets are similar; pairs without a common shingle are not."""
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first, sets, postings = {}, {}, {}
+    for i, t in rows:
+        if (j := first.setdefault(t or "", i)) != i:
+            parent[root(i)] = root(j)
+            continue
+        sets[i], met = plain_shingles(t), {}
+        for g in sets[i]:
+            for j in postings.setdefault(g, []):
+                met[j] = met.get(j, 0) + 1
+            postings[g].append(i)
+        for j, n in met.items():
+            if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    groups: dict = {}
+    for i in parent:
+        groups.setdefault(root(i), set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def found_classes(df) -> set:
+    groups: dict = {}
+    for r in near_dedup.classes(df).collect():
+        groups.setdefault(r.class_id, set()).add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_classes_where_texts_repeat_themselves(spark):
+    """Texts whose first half stands in them up to 200 times, with edits and with footers that are repeated as often."""
+    rng, rows = random.Random(8), []
+    for _ in range(12):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        footer = " ".join(f"f{rng.randrange(10**6)}" for _ in range(18))
+        for times, edits, feet in ((1, 0, 0), (50, 1, 0), (200, 2, 0), (200, 3, 0), (1, 1, 40), (1, 9, 0)):
+            own = words[:]
+            for at in rng.sample(range(100), edits):
+                own[at] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[:50] * (times - 1) + own) + f" {footer}" * feet))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found_classes(df) == plain_classes(rows)
+
+
+def test_classes_of_documents_against_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert found_classes(df) == plain_classes([tuple(r) for r in df.collect()])
+
+
+def test_connected_with_hubs_of_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HUB", 6)
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(299, x) for x in range(40, 60)] + [(i, i + 1) for i in range(400, 430)]
+    want: dict = {}
+    for a, b in edges:
+        both = want.get(a, {a}) | want.get(b, {b})
+        want |= dict.fromkeys(both, both)
+    rows = near_dedup.connected(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "hubs")).collect()
+    comp = {r.id: r.comp for r in rows}
+    assert len(comp) == len(rows) and comp.keys() | set(comp.values()) <= want.keys()
+    got: dict = {}
+    for x in want:
+        got.setdefault(comp.get(x, x), set()).add(x)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values()}
