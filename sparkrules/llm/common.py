@@ -31,11 +31,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all runs in one JVM, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrules-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
