@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, all_columns_hash, give_back, small_batches, text_slices, words_of
+from .common import WORD_BYTES, Scratch, all_columns_hash, give_back, small_batches, text_slices
 
 CHUNK = 4096
 #: Every word counts so much more than it was seen, and each bucket has as many unseen words as seen ones.
@@ -62,32 +62,58 @@ class Settings:
         return self.vocabulary - 1 - self.rare
 
 
-class Coder(dict):
+def word_array(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words, as words_of() finds them, in one Arrow array without an object a word, and how many each text has."""
+    data = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]).translate(WORD_BYTES), np.uint8)
+    inside = data != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # words begin and end by turns
+    begins, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    borders = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return words, np.diff(np.searchsorted(begins, borders, "right"))
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; its own to_pylist() makes a scalar object of each first."""
+    _, ends, data = words.buffers()
+    raw = data.to_pybytes() if data else b""
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else [0]
+    return [raw[i:j] for i, j in zip(ends, ends[1:])]  # noqa: B905
+
+
+class Coder:
     """Word to token; words outside the vocabulary go to buckets by a hash."""
 
-    def __init__(self, words: list[bytes], s: Settings, keep: int = 100_000):
+    def __init__(self, words: list[bytes], s: Settings):
+        self._words, self._first, self._rare = pa.array(words, pa.binary()), s.vocabulary - s.rare, s.rare
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.numbers(pa.array([word], pa.binary()))[0])
+
+    def buckets(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        super().__init__({w: i + 1 for i, w in enumerate(words)})
-        self._hash, self._first, self._rare, self._keep = xxhash.xxh3_64_intdigest, s.vocabulary - s.rare, s.rare, keep + len(words)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        return (h % np.uint64(self._rare)).astype(np.int32) + self._first
 
-    def __missing__(self, word: bytes) -> int:
-        t = self._first + self._hash(word) % self._rare
-        if len(self) < self._keep:
-            self[word] = t
-        return t
+    def other(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of different words outside the vocabulary."""
+        return self.buckets(words)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words."""
+        found = pc.fill_null(pc.index_in(words, self._words), -1).to_numpy() + 1
+        unknown = np.flatnonzero(found == 0)
+        if len(unknown):
+            found[unknown] = self.other(bytes_of(words.take(pa.array(unknown))))
+        return found
 
     def windows(self, texts: list[bytes | None], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Targets, their 2 * side neighbours (stored by place) and the target's text; token 0 pads each text on both sides."""
-        words: list[bytes] = []
-        lengths = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = words_of(t)
-            lengths[i] = len(own)
-            words += own
-        coded = pa.array(words, pa.binary()).dictionary_encode()  # each word of a slice is looked up once
-        kinds = coded.dictionary.to_pylist()
-        token = np.fromiter(map(self.__getitem__, kinds), np.int32, len(kinds))[coded.indices.to_numpy()]
+        words, lengths = word_array(texts)
+        coded = words.dictionary_encode()  # each word of a slice is looked up once
+        token = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
         of = np.repeat(np.arange(len(texts)), lengths)
         at = np.arange(len(token)) + side * (2 * of + 1)
         stream = np.zeros(len(token) + 2 * side * len(texts), np.int32)
@@ -100,21 +126,24 @@ class Group(Coder):
 
     def __init__(self, words: list[bytes], s: Settings):
         super().__init__(words, s)
-        self.tokens, self.unknown = list(range(s.vocabulary)), []
+        self.vocabulary = s.vocabulary
+        self.tokens, self.unknown = [np.arange(s.vocabulary, dtype=np.int32)], {}
         self.texts, self.word_at, self.text_at = [], [], []
         self.held = 0
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.tokens)
-        self.tokens.append(self._first + self._hash(word) % self._rare)
-        self.unknown.append(word)
-        return n
+    def other(self, words: list[bytes]) -> np.ndarray:
+        known, before = self.unknown, len(self.unknown)
+        place = [known.setdefault(w, len(known)) for w in words]
+        if new := [w for w, n in zip(words, place, strict=True) if n >= before]:
+            self.tokens.append(self.buckets(new))
+        return np.array(place, np.int32) + self.vocabulary
 
     def take(self, texts: list[bytes | None], net: Network, within: np.ndarray) -> None:
         """Scores texts by the network and ``within``, which a token adds by its bucket; notes where unknown words stand."""
         s = net.s
         number, around, of = self.windows(texts, s.side)
-        token = np.array(self.tokens, np.int64)
+        token = np.concatenate(self.tokens)
+        self.tokens = [token]
         target, around = token[number], token[around]
         logs = [net.log_probs(target[i : i + s.batch], around[i : i + s.batch]) for i in range(0, len(target), s.batch)]
         done = np.zeros(len(texts), SCORED)
@@ -138,7 +167,7 @@ class Group(Coder):
         at, text = np.concatenate(self.word_at), np.concatenate(self.text_at)
         ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.unknown)))]).astype(np.int32) * 4
         data = pa.Array.from_buffers(pa.binary(), len(self.unknown), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text[np.argsort(at, kind="stable")])])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), group)), pa.array(self.unknown, pa.binary()), data], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), group)), pa.array(list(self.unknown), pa.binary()), data], names=names)
 
 
 def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,9 +238,8 @@ class Network:
             logit, e, z = _exp(hg @ self.W[g] + self.w[g])
             found[own] += logit[r, m] - np.log(z)
             if grad is not None:
-                e /= z[:, None]
-                e[r, m] -= 1
-                e /= n
+                e *= (1 / (z * n))[:, None]
+                e[r, m] -= 1 / n
                 grad.W[g] = hg.T @ e
                 grad.w[g] = e.sum(0)
                 dh[own] += e @ self.W[g].T
@@ -267,8 +295,9 @@ def count_words(df: DataFrame, text: str = "text", keep: int = 100_000) -> DataF
 
         counts: Counter = Counter()
         for _, texts in text_slices(batches):
-            for t in texts:
-                counts.update(words_of(t))
+            found = word_array(texts)[0].value_counts()
+            for w, n in zip(bytes_of(found.field(0)), found.field(1).to_numpy().tolist(), strict=True):
+                counts[w] += n
             if len(counts) > keep:
                 yield out(counts)
                 counts = Counter()
@@ -293,9 +322,9 @@ class Model:
 def token_of(words: list[bytes], s: Settings):
     @F.arrow_udf("int")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(words, s, keep=0)
+        coder = Coder(words, s)
         for column in columns:
-            yield pa.array([coder[w] for w in column.to_pylist()], pa.int32())
+            yield pa.array(coder.numbers(column.cast(pa.binary())), pa.int32())
 
     return run(F.col("word"))
 
@@ -384,7 +413,8 @@ def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts["sha"]], pa.binary()), pa.array(texts["n"]), pa.array(texts["s"] + sums * UNIT)], names=["sha", "n", "s"])
 
     for b in batches:
-        data = b.column("data")
+        data = b.column("data").cast(pa.binary())
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset :]
         value = b.column("value").to_numpy(zero_copy_only=False)
         heads = np.nonzero(b.column("value").is_null().to_numpy(zero_copy_only=False))[0]
         cuts = [0, *heads.tolist(), b.num_rows]
@@ -395,8 +425,8 @@ def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts, lo = np.frombuffer(data[lo].as_py(), SCORED), lo + 1
                 sums = np.zeros(len(texts))
             if lo < hi:
-                at = np.concatenate([np.frombuffer(x, np.int32) for x in data[lo:hi].to_pylist()])
-                times = pc.binary_length(data[lo:hi]).to_numpy() // 4
+                at = np.frombuffer(data.buffers()[2], np.int32, (ends[hi] - ends[lo]) // 4, ends[lo])
+                times = np.diff(ends[lo : hi + 1]) // 4
                 sums += np.bincount(at, np.repeat(value[lo:hi], times), len(sums))
     if len(texts):
         yield out()
