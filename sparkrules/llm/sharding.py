@@ -123,13 +123,15 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
     """All rows and columns of df with ``size``, ``shard`` (0 ..) and ``slot`` (0 .. without gaps in each shard).
 
     Shards hold nearly equal bytes: each cut is within ``tolerance`` of a shard's bytes, as long as no single row is larger
-    than that. Rows of one text follow each other in (shard, slot) order. Null texts count as empty. Rows that are equal
+    than that. Rows of one text follow each other in (shard, slot) order; texts whose hashes share their first 40 bits are told
+    apart by all 64, and only where one of the cuts between bins falls among such texts are both on both sides of it. Null texts count as empty. Rows that are equal
     in every column are interchangeable; they share a key and stay in one bin. An empty table gives an empty result.
     Columns named size, shard or slot are replaced. Columns that the caller does not select later are not exchanged.
     """
     spark = df.sparkSession
     hashed = df.withColumn("__hash", all_columns_hash(df))
-    keyed = hashed.withColumns({"__key": shard_key(text), "size": size_of(F.col(text))})
+    whole_text = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = hashed.withColumns({"__key": shard_key(text), "__text": whole_text, "size": size_of(F.col(text))})
     scratch = Scratch(spark, "shard")
     # texts are read once here and once for the exchange; the rounds read 12 bytes a row
     keys = scratch.table(keyed.select(F.col("__key").alias("key"), "size"))
@@ -143,7 +145,7 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
         starts.append(at)
         at += counts.get(b, 0)
     first = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
-    nth = F.row_number().over(W.partitionBy("__bin").orderBy("__key", "__hash"))
+    nth = F.row_number().over(W.partitionBy("__bin").orderBy(F.shiftright("__key", ROW_BITS), "__text", "__key", "__hash"))
     return (
         keyed.withColumn("__bin", bin_of(F.col("__key"), found.cuts))
         .withColumns(
@@ -152,5 +154,5 @@ def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.001, bins_per_sha
                 "slot": (F.element_at(first, F.col("__bin") + 1) + nth - 1).cast("bigint"),
             }
         )
-        .drop("__key", "__hash", "__bin")
+        .drop("__key", "__text", "__hash", "__bin")
     )
