@@ -52,7 +52,10 @@ def name_texts(df: DataFrame, scratch: Scratch, text: str = "text", block_bytes:
     if doubled.isEmpty():
         named = at.join(names.select("h", "name"), "h").select("__row", "n", "i", "name")
     else:
-        named = _by_value(df, value, block_bytes, names)
+        # numbers of rows may differ from reading to reading, so blocks and the rows' other columns are stored by one
+        rows = scratch.table(blocks.select("__row", *(extra or {}), "__blocks"))
+        at = rows.select("__row", F.size("__blocks").alias("n"), F.posexplode("__blocks").alias("i", "block"))
+        named = at.join(names.select("block", "name"), "block").select("__row", "n", "i", "name")
     named = scratch.table(named)
     scratch.drop(names)
 
@@ -75,14 +78,7 @@ def name_texts(df: DataFrame, scratch: Scratch, text: str = "text", block_bytes:
     identity = done[0]
     for more in done[1:]:
         identity = identity.union(more)
-    return rows.drop("hashes").join(identity, "__row")
-
-
-def _by_value(df: DataFrame, value: Column, block_bytes: int, names: DataFrame) -> DataFrame:
-    """The same as the join over hashes, by whole blocks."""
-    cut = df.select(F.monotonically_increasing_id().alias("__row"), _blocks(value, block_bytes).alias("blocks"))
-    at = cut.select("__row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
-    return at.join(names.select("block", "name"), "block").select("__row", "n", "i", "name")
+    return rows.drop("hashes", "__blocks").join(identity, "__row")
 
 
 def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
