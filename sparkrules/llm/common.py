@@ -93,12 +93,12 @@ def number_within(df: DataFrame, group: str, key: Column, order: list[Column], n
     counts = df.groupBy(group, "__bin").agg(F.count("*").alias("n")).collect()
     first, total = {}, {}
     for g, b, n in sorted((tuple(r) for r in counts), key=lambda r: (r[0] is not None, r[0], r[1])):
-        first[f"{g}/{b}"] = total.get(g, 0)
+        first.setdefault(str(g), [0] * bins)[b] = total.get(g, 0)
         total[g] = total.get(g, 0) + n
-    starts = F.from_json(F.lit(json.dumps(first)), "map<string,bigint>")
-    at = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("None")), F.col("__bin").cast("string"))
+    starts = F.from_json(F.lit(json.dumps(first)), "map<string,array<bigint>>")
+    own = starts[F.coalesce(F.col(group).cast("string"), F.lit("None"))]
     nth = F.row_number().over(W.partitionBy(group, "__bin").orderBy(*order))
-    return df.withColumn(name, (starts[at] + nth - 1).cast("bigint")).drop("__bin")
+    return df.withColumn(name, (F.element_at(own, F.col("__bin") + 1) + nth - 1).cast("bigint")).drop("__bin")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@ import hashlib
 import io
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -145,6 +145,27 @@ def test_packing_is_whole(spark):
     assert all({k for x, k in batches if x == b} == set(range(n + 1)) for b, n in last.items())
 
 
+def test_packed_sequences_rebuild_every_text(spark, odd_documents):
+    """Pieces with their tokens, put together by row, are the text's own words; a row that is there twice gives them twice."""
+    s = packing.Settings(buckets=3, max_len=7, batch_tokens=40)
+    got = packing.pack(odd_documents, s, sequences=packing.words(F.col("text"))).collect()
+    plain = packing.pack(odd_documents, s).collect()
+    assert Counter(r[:9] for r in got) == Counter(map(tuple, plain))
+    pieces = defaultdict(list)
+    for r in got:
+        assert len(r.tokens) == r.n_tokens <= r.bucket_len
+        pieces[r.doc_id, r.text_hash].append((r.piece, r.tokens))
+    texts = Counter((r.doc_id, r.text) for r in odd_documents.collect())
+    hashes = {r.text: r.h for r in odd_documents.select("text", F.xxhash64("text").alias("h")).collect()}
+    assert len(pieces) == len(texts)
+    for (i, text), n in texts.items():
+        own = sorted(pieces[i, hashes[text]])
+        for copy in range(n):
+            assert [w for _, tokens in own[copy::n] for w in tokens] == (text or "").split()
+    ids = packing.pack(odd_documents, s, sequences=F.when(F.col("doc_id") != 2, F.array(F.lit(5), F.lit(6)))).collect()
+    assert sorted(map(str, (r.tokens for r in ids))) == ["[5, 6]"] * 6 + ["[]"] * 3
+
+
 def test_packing_odd(odd_documents, no_documents):
     got = packing.pack(odd_documents).collect()
     assert sum(r.n_tokens for r in got) == 60000 + 3 * 9 + 3 and len(got) == 8 + -(-60000 // 4096)
@@ -176,6 +197,15 @@ def test_sharding_is_even_with_a_hot_text(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in shards(df.repartition(3))[0]} == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_sharding_keeps_texts_apart_that_share_a_key(spark, monkeypatch):
+    """Even if the first bits of all texts' hashes are the same, rows of one text follow each other within a bin."""
+    monkeypatch.setattr(sharding, "shard_key", lambda text="text": F.shiftrightunsigned(F.col("__hash"), 64 - sharding.ROW_BITS).bitwiseOR(F.lit(9 << sharding.ROW_BITS)))
+    df = spark.range(600).selectExpr("id AS doc_id", "concat('text ', id % 5) AS text")
+    got, _ = shards(df, shards=1, bins_per_shard=1)
+    order = [r.text for r in sorted(got, key=lambda r: r.slot)]
+    assert len(got) == 600 and sum(a != b for a, b in itertools.pairwise(order)) == 4
+
+
 def test_splitters_refine_until_tolerance(spark):
     keys = spark.range(5000).selectExpr("IF(id % 2 = 0, 7, (1L << 62) + id) AS key", "1 AS size")
     found = sharding.find_splitters(keys, 4, 1, 0.001)
