@@ -227,7 +227,8 @@ def _cidr(leaf: Leaf, s: Scope) -> Column:
 
 
 def _temporal(leaf: Leaf, s: Scope) -> Column:
-    ms = s.want(leaf.fields[0], leaf.op, "numeric").column.cast("bigint")
+    b = s.want(leaf.fields[0], leaf.op, "numeric")
+    ms = b.column.cast("bigint")
     match leaf.op:
         case "before":
             return certain(ms < leaf.args[0])
@@ -235,8 +236,9 @@ def _temporal(leaf: Leaf, s: Scope) -> Column:
             return certain(ms > leaf.args[0])
         case "within_last":
             return certain(ms >= s.as_of_ms - leaf.args[0] * 1000)
-        case "day_of_week_in":  # the first of January 1970 was a Thursday, day 4
-            day = F.pmod(F.floor(ms / DAY_MS) + 4, F.lit(7))
+        case "day_of_week_in":  # the first of January 1970 was a Thursday, day 4; a day's last half millisecond belongs to it
+            days = ms / DAY_MS if b.micros is None else b.micros / (DAY_MS * 1000)
+            day = F.pmod(F.floor(days) + 4, F.lit(7))
             return certain(day.isin(list(leaf.args))) if leaf.args else F.lit(False)
     low, high = leaf.args
     hour = F.pmod(ms, F.lit(DAY_MS)) / HOUR_MS

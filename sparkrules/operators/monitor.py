@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.binding import divided
 from .dedupe import comparable
 
 #: The bucket of a timeline by the span that it shows (milliseconds).
@@ -65,7 +66,7 @@ def bucket_ms(span_ms: int) -> int:
 
 def timeline(log: DataFrame, ts_ms: str = "ts_ms", bucket: int = 60_000, *keys: str) -> DataFrame:
     """(bucket_ms, keys, n): tumbling buckets by integer arithmetic."""
-    begin = (F.floor(F.col(ts_ms) / bucket) * bucket).cast("bigint")
+    begin = divided(F.col(ts_ms).cast("bigint"), bucket) * bucket
     return log.groupBy(begin.alias("bucket_ms"), *keys).agg(F.count("*").alias("n"))
 
 

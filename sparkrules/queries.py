@@ -13,6 +13,7 @@ from .operators import monitor
 from .operators.backtest import backtest
 from .operators.dedupe import first_per_key
 from .operators.models import LinearModel
+from .plans.binding import Schema
 from .sources.ingest import parse_json, unwrap_debezium
 
 DAY = 86400
@@ -435,7 +436,8 @@ def backtest_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"rules": [{"id": "big", "action": "review", "conditions": _field("value", "gt", value=60)}, {"id": "error", "action": "block", "conditions": _field("event_type", "eq", value="error")}]}
-    events = table(spark, sf_dir, "events").withColumn("ts_ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    events = table(spark, sf_dir, "events")
+    events = events.withColumn("ts_ms", Schema(events.schema, {}).resolve("ts").column)
     return RuleEngine(EngineConfig(output_columns=("event_id", "ts_ms", "event_type", "value"))).load_rules_from_dict(rules).evaluate(events).decisions()
 
 
