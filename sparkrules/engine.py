@@ -19,7 +19,7 @@ from .operators.lookups import Lookup, join_lookup, load_lookup, make_lookup
 from .operators.windows import NULL_VALUE, add_windows
 from .paths import modified, read_text
 from .plans import parser
-from .plans.binding import Schema
+from .plans.binding import Schema, divided
 from .plans.conflict import ConflictReport, analyze
 from .plans.spec import ModelLeaf, Ruleset, VectorLeaf, WindowLeaf, fields_of, walk
 
@@ -226,8 +226,7 @@ class Evaluation:
 
     def _clock(self) -> Column:
         if isinstance(self.clock, str):
-            b = self.schema.resolve(self.clock)
-            return F.floor(b.column / 1000)
+            return divided(self.schema.resolve(self.clock).column.cast("bigint"), 1000)
         return self.clock.cast("bigint")
 
     def _model(self, leaf: ModelLeaf) -> Column:

@@ -47,3 +47,17 @@ def test_times_are_rounded_to_milliseconds_as_in_sql(spark, tmp_path, name):
 def test_a_day_of_the_week_ends_with_its_last_microsecond(spark, tmp_path):
     rows = [(15 * HOUR_US + d * 24 * HOUR_US + us, 1, "view", 1) for d in range(8) for us in (-501, -500, -1, 0, 500)]
     assert compare(spark, "temporal_dow_tod", write_events(tmp_path, rows)) == 40
+
+
+@pytest.mark.parametrize("name", ["window_spans", "window_count", "window_dedup_channels"])
+@pytest.mark.parametrize("shift", [0, BEFORE_1970])
+def test_a_window_s_seconds_are_those_of_sql(spark, tmp_path, name, shift):
+    """Each user's second row comes an hour, a day or a week after its first, a few microseconds from the edge of the window."""
+    rows, user = [], 0
+    for span in (1, 24, 72, 168):
+        for us in (-501, -500, -1, 0, 499, 500, 999_499, 999_500):
+            for more in (0, -1_000_000):
+                user += 1
+                rows += [(shift + us + n, user, TYPES[user % 3], 50) for n in range(9 if span == 168 else 1)]
+                rows.append((shift + span * HOUR_US + more, user, TYPES[user % 3], 50))
+    assert compare(spark, name, write_events(tmp_path, rows)) == len(rows)
