@@ -29,16 +29,23 @@ RULES_PER_STAGE = 100
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """missing_model: "error" refuses rules whose model is not registered, "zero" scores them 0."""
+    """missing_model: "error" refuses rules whose model is not registered, "zero" scores them 0.
+
+    window_precision: "float" compares sums, averages and the like of windows as 32-bit numbers, as the surveyed engine does,
+    "double" as they are computed.
+    """
 
     output_columns: tuple[str, ...] | None = None
     null_window_value: float = NULL_VALUE
     missing_model: str = "error"
+    window_precision: str = "float"
     fill_defaults: bool = False
 
     def __post_init__(self):
         if self.missing_model not in ("error", "zero"):
             raise ConfigError("INVALID_ENGINE_CONFIG", f"missing_model: {self.missing_model!r}")
+        if self.window_precision not in ("float", "double"):
+            raise ConfigError("INVALID_ENGINE_CONFIG", f"window_precision: {self.window_precision!r}")
 
 
 @dataclass
@@ -163,7 +170,7 @@ class Evaluation:
         return self.ruleset.rules
 
     def _scope(self, rule_id: str = "", derived: dict | None = None) -> Scope:
-        return Scope(lambda n: self.schema.resolve(n, rule_id), rule_id, self.as_of_ms, derived or {}, self.engine.lookups)
+        return Scope(lambda n: self.schema.resolve(n, rule_id), rule_id, self.as_of_ms, derived or {}, self.engine.lookups, window_precision=self.engine.config.window_precision)
 
     def _validate(self) -> None:
         """Compiles every rule against the schema, so that errors come before any job.
@@ -220,7 +227,7 @@ class Evaluation:
             if self.window_source is not None:
                 df = self.window_source(df, self.schema, windows, names)
             else:
-                df = add_windows(df, self.schema, windows, self._clock(), names, self.engine.config.null_window_value)
+                df = add_windows(df, self.schema, windows, self._clock(), names, self.engine.config.null_window_value, self.engine.config.window_precision)
             found |= {k: F.col(n) for k, n in names.items()}
         return (df.withColumns(columns) if columns else df), found
 

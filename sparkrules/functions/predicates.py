@@ -55,6 +55,8 @@ class Scope:
     lookups: dict = field(default_factory=dict)
     #: Inside an array element: not is a plain complement, arithmetic takes null and x/0 as 0, a null text is empty for regex.
     nested: bool = False
+    #: Of window columns other than counts.
+    window_precision: str = "float"
 
     def mismatch(self, op: str, b: Bound):
         raise SchemaError("TYPE_MISMATCH", f"'{op}' does not apply to '{b.name}' ({b.type.simpleString()})", rule_id=self.rule_id, field=b.name)
@@ -295,7 +297,9 @@ def _arithmetic(leaf: ArithmeticLeaf, s: Scope) -> Column:
 def _derived(leaf, s: Scope) -> Column:
     if s.nested:
         return F.lit(False)
-    kind = T.IntegerType() if isinstance(leaf, WindowLeaf) and leaf.function == "count" else T.FloatType()
+    kind = T.FloatType()
+    if isinstance(leaf, WindowLeaf):
+        kind = T.IntegerType() if leaf.function == "count" else T.DoubleType() if s.window_precision == "double" else kind
     return number_test(leaf.op, Bound(leaf.family, s.derived[key_of(leaf)], kind), leaf.args)
 
 

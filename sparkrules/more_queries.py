@@ -39,7 +39,7 @@ def window_dedup_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over one channel share it, whatever they compare it with."""
     rules = [{"id": f"n{v}", "conditions": _sliding("user_id", "count", 3 * DAY, "gte", v)} for v in (1, 3, 6)]
     rules += [{"id": "few_but_large", "conditions": {"and": [_sliding("user_id", "count", 3 * DAY, "lt", 3), _sliding("user_id", "max", 3 * DAY, "gt", 80.5, value_field="value")]}}]
-    return RuleEngine(EngineConfig(output_columns=("event_id",))).load_rules_from_dict({"rules": rules}).evaluate(_events(spark, sf_dir), clock="ts").bitmasks()
+    return RuleEngine(EngineConfig(output_columns=("event_id",), window_precision="double")).load_rules_from_dict({"rules": rules}).evaluate(_events(spark, sf_dir), clock="ts").bitmasks()
 
 
 def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"id": "type_hour", "conditions": _sliding("event_type", "count", HOUR, "gt", 1)},
         {"id": "type_low", "conditions": _sliding("event_type", "min", HOUR, "lt", 10.5, value_field="value")},
     ]
-    return RuleEngine(EngineConfig(output_columns=("event_id",))).load_rules_from_dict({"rules": rules}).evaluate(_events(spark, sf_dir), clock="ts").bitmasks()
+    return RuleEngine(EngineConfig(output_columns=("event_id",), window_precision="double")).load_rules_from_dict({"rules": rules}).evaluate(_events(spark, sf_dir), clock="ts").bitmasks()
 
 
 DEFAULTED = {"decisions": {"default": "review"}, "rules": [{"id": "cheap", "action": "approve", "conditions": _field("l_extendedprice", "lt", value=9000)}, {"id": "fast", "action": "flag", "conditions": _field("l_tax", "gt", value=0.06)}]}

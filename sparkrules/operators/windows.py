@@ -22,7 +22,7 @@ def operand(schema: Schema, name: str, null_value: float = NULL_VALUE) -> Column
     return F.coalesce(schema.resolve(name).column.cast("double"), F.lit(null_value)) if name else F.lit(1.0)
 
 
-def finish(function: str, n: Column, total: Column, other: Column, low: Column, high: Column) -> Column:
+def finish(function: str, n: Column, total: Column, other: Column, low: Column, high: Column, precision: str = "float") -> Column:
     """The window's value from its sums; without any row 0, never null."""
     zero = F.lit(0.0)
     match function:
@@ -38,7 +38,7 @@ def finish(function: str, n: Column, total: Column, other: Column, low: Column,
             out = low
         case _:
             out = high
-    return F.coalesce(out, zero).cast("float")
+    return F.coalesce(out, zero).cast(precision)
 
 
 def _combined(c: dict[str, str]) -> dict[str, Column]:
@@ -79,7 +79,7 @@ def _sliding(buckets: DataFrame, kinds: dict[str, str], seconds: int) -> DataFra
     return met.select("__entity", "__sec", *out)
 
 
-def add_windows(df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], clock: Column, names: dict[tuple, str], null_value: float = NULL_VALUE) -> DataFrame:
+def add_windows(df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], clock: Column, names: dict[tuple, str], null_value: float = NULL_VALUE, precision: str = "float") -> DataFrame:
     """df with a column for each channel; clock: epoch seconds of the row's micro-batch.
 
     Channels of one entity and one duration share a pass over the entity's buckets; each entity is joined to the rows once.
@@ -108,10 +108,10 @@ def add_windows(df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf],
             for k, w in of_span.items():
                 i = operands.index((w.value, w.denominator))
                 part = lambda kind, i=i, needed=needed: F.col(f"__{kind}{i}") if f"__{kind}{i}" in needed else F.lit(None)
-                values.append(finish(w.function, F.col("__n"), part("s"), part("d"), part("lo"), part("hi")).alias(names[k]))
+                values.append(finish(w.function, F.col("__n"), part("s"), part("d"), part("lo"), part("hi"), precision).alias(names[k]))
             found = found.select(F.col("__entity").alias(f"__e{n}"), F.col("__sec").alias(f"__t{n}"), *values)
             seen = found if seen is None else seen.join(found, [f"__e{n}", f"__t{n}"])
         df = keyed.join(seen, (F.col("__entity") == F.col(f"__e{n}")) & (F.col("__sec") == F.col(f"__t{n}")), "left").drop("__entity", f"__e{n}", f"__t{n}")
-        zero = {names[k]: F.coalesce(F.col(names[k]), F.lit(0).cast("int" if w.function == "count" else "float")) for k, w in own.items()}
+        zero = {names[k]: F.coalesce(F.col(names[k]), F.lit(0).cast("int" if w.function == "count" else precision)) for k, w in own.items()}
         df = df.withColumns(zero)
     return df.drop("__sec")

@@ -294,7 +294,7 @@ def _window_rules(name: str) -> dict:
 def _window(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "value", "cast(event_id % 7 + 1 AS double) AS other")
-        engine = RuleEngine(EngineConfig(output_columns=("event_id",))).load_rules_from_dict(_window_rules(name))
+        engine = RuleEngine(EngineConfig(output_columns=("event_id",), window_precision="double")).load_rules_from_dict(_window_rules(name))
         return engine.evaluate(events, clock="ts").bitmasks()
 
     return query

@@ -100,7 +100,7 @@ class StreamRunner:
         evaluation = Evaluation(engine, df, int(now * 1000), F.lit(second))
         windows = {key_of(x): x for x in evaluation._leaves if isinstance(x, WindowLeaf)}
         if windows and self.state:
-            evaluation.window_source = lambda d, schema, leaves, names: self.state.read(d, schema, leaves, names, number, second)
+            evaluation.window_source = lambda d, schema, leaves, names: self.state.read(d, schema, leaves, names, number, second, engine.config.window_precision)
         self.sink(decision_log(evaluation, int(now * 1000), self.instance), number)
         if windows and self.state:
             self.state.write(df, evaluation.schema, windows, number, second)

@@ -60,7 +60,7 @@ class WindowState:
     def slot(w: WindowLeaf) -> str:
         return "\x1f".join((w.entity, w.value, w.denominator))
 
-    def read(self, df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], names: dict[tuple, str], batch: int, now: int) -> DataFrame:
+    def read(self, df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], names: dict[tuple, str], batch: int, now: int, precision: str = "float") -> DataFrame:
         """df with each channel's value over the buckets of seconds in (now - duration, now]."""
         longest = max(w.seconds for w in leaves.values())
         state = self.before(batch).where((F.col("sec") <= now) & (F.col("sec") > now - longest))
@@ -70,7 +70,7 @@ class WindowState:
             for k, w in own.items():
                 live = (F.col("slot") == self.slot(w)) & (F.col("sec") > now - w.seconds)
                 part = lambda c, live=live: F.when(live, F.col(c))
-                value = finish(w.function, F.sum(part("n")), F.sum(part("s")), F.sum(part("d")), F.min(part("lo")), F.max(part("hi")))
+                value = finish(w.function, F.sum(part("n")), F.sum(part("s")), F.sum(part("d")), F.min(part("lo")), F.max(part("hi")), precision)
                 aggs.append(value.alias(names[k]))
             key = schema.resolve(entity).column.cast("string")
             # only entities of this batch

@@ -61,3 +61,16 @@ def test_a_window_s_seconds_are_those_of_sql(spark, tmp_path, name, shift):
                 rows += [(shift + us + n, user, TYPES[user % 3], 50) for n in range(9 if span == 168 else 1)]
                 rows.append((shift + span * HOUR_US + more, user, TYPES[user % 3], 50))
     assert compare(spark, name, write_events(tmp_path, rows)) == len(rows)
+
+
+SLIDING = {"window_sum": (10.3, 60.7, 200.9), "window_avg": (10.3, 40.7), "window_ratio": (0.3, 3.7), "window_min": (1.3, 9.9), "window_max": (1.3, 99.9)}
+
+
+@pytest.mark.parametrize("name", SLIDING)
+def test_windows_are_compared_as_doubles(spark, tmp_path, name):
+    """Values that differ from a limit by less than a 32-bit number can tell; event_id is a multiple of 7, so a ratio's divisor is 1."""
+    values = [x for limit in SLIDING[name] for x in (limit, limit - 1e-9, limit + 1e-9, limit * (1 - 2**-52), limit * (1 + 2**-51))]
+    rows = []
+    for user, value in enumerate(values):
+        rows += [(0, user, "view", value), (2_000_000, user, "view", 1), *[(0, 1000 + user, "view", 1)] * 5]
+    assert compare(spark, name, write_events(tmp_path, rows)) == len(rows)
