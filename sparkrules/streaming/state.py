@@ -78,7 +78,7 @@ class WindowState:
             known = state.where(F.col("slot").isin([self.slot(w) for w in own.values()])).join(here, "entity", "left_semi")
             seen = known.groupBy(F.col("entity").alias(f"__e{n}")).agg(*aggs)
             df = df.join(seen, key == F.col(f"__e{n}"), "left").drop(f"__e{n}")
-            df = df.withColumns({names[k]: F.coalesce(F.col(names[k]), F.lit(0).cast("int" if w.function == "count" else "float")) for k, w in own.items()})
+            df = df.withColumns({names[k]: F.coalesce(F.col(names[k]), F.lit(0).cast("int" if w.function == "count" else precision)) for k, w in own.items()})
         return df
 
     def write(self, df: DataFrame, schema: Schema, leaves: dict[tuple, WindowLeaf], batch: int, now: int) -> None:

@@ -74,3 +74,16 @@ def test_windows_are_compared_as_doubles(spark, tmp_path, name):
     for user, value in enumerate(values):
         rows += [(0, user, "view", value), (2_000_000, user, "view", 1), *[(0, 1000 + user, "view", 1)] * 5]
     assert compare(spark, name, write_events(tmp_path, rows)) == len(rows)
+
+
+def test_averages_of_few_rows_are_added_oldest_first(spark, tmp_path):
+    """Three values whose exact mean is a limit: the sum's last bit, and so the rule, depends on the order of addition."""
+    cents = [(a, b, 12210 - a - b) for a in range(3, 4000, 97) for b in range(5, 5000, 211)]
+    rows = []
+    for user, three in enumerate(cents):
+        hours = (1, 16, 20) if user % 2 else (1, 2, 20)
+        rows += [(h * HOUR_US, user, "view", x / 100) for h, x in zip(hours, three)]
+        rows.append((24 * HOUR_US, user, "view", 1))
+    order = {a + b + c == a + (b + c) for a, b, c in ((x / 100, y / 100, z / 100) for x, y, z in cents)}
+    assert order == {True, False}
+    assert compare(spark, "window_avg", write_events(tmp_path, rows)) == len(rows)
