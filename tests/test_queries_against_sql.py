@@ -87,3 +87,13 @@ def test_averages_of_few_rows_are_added_oldest_first(spark, tmp_path):
     order = {a + b + c == a + (b + c) for a, b, c in ((x / 100, y / 100, z / 100) for x, y, z in cents)}
     assert order == {True, False}
     assert compare(spark, "window_avg", write_events(tmp_path, rows)) == len(rows)
+
+
+def test_sums_of_few_rows_are_added_oldest_first(spark, tmp_path):
+    cents = [(a, b, 20090 - a - b) for a in range(3, 7000, 97) for b in range(5, 9000, 211)]
+    rows = []
+    for user, three in enumerate(cents):
+        hours = (1, 16, 20) if user % 2 else (1, 2, 20)
+        rows += [(h * HOUR_US, user, "view", x / 100) for h, x in zip(hours, three)]
+        rows.append((24 * HOUR_US, user, "view", 1))
+    assert compare(spark, "window_sum", write_events(tmp_path, rows)) == len(rows)
