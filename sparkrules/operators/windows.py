@@ -16,7 +16,7 @@ from ..plans.spec import WindowLeaf
 
 #: A null operand counts as this.
 NULL_VALUE = 1.0
-#: A window of no more rows is summed row by row, oldest first, as SQL does; of more rows, SQL's own order depends on where they are stored.
+#: A window of no more rows is summed row by row, oldest first, as DuckDB does; of more rows DuckDB adds partial sums in an order not followed here.
 FEW = 16
 
 
